@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearken.functions.labels import label_name
@@ -18,7 +18,7 @@ from hearken.functions.text import (
     truncate_tokens,
     words,
 )
-from hearken.functions.vectors import prediction, softmax
+from hearken.functions.vectors import let, prediction, softmax
 from hearken.operators import metrics, profile, tfidf
 from hearken.plans.registry.base import clean, query, table
 from hearken.session import spread
@@ -198,14 +198,16 @@ RULE_WORDS = {
 
 
 def _rule_scores(spark: SparkSession, sf: str) -> DataFrame:
-    found = words("text")
+    def shares(found: Column) -> Column:
+        def share(entries: list[str]) -> Column:
+            hits = F.size(F.filter(found, lambda w: w.isin(entries))).cast("double")
+            return hits / F.greatest(F.size(found), F.lit(1)) * 10
 
-    def hits(entries: list[str]):
-        return F.size(F.filter(found, lambda w: w.isin(entries))).cast("double")
+        return F.array(*[share(RULE_WORDS[x]) for x in LANGS])
 
-    share = [hits(RULE_WORDS[x]) / F.greatest(F.size(found), F.lit(1)) * 10 for x in LANGS]
     docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
-    return docs.withColumn("predicted", prediction(softmax(F.array(*share)), LANGS))
+    scores = let(words("text"), shares)
+    return docs.withColumn("predicted", prediction(softmax(scores), LANGS))
 
 
 def _rule_predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -366,11 +368,18 @@ def classifier_report(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- n-grams -----------------------------------------------------------------
 
-_GRAMS = f"""WITH chars AS (SELECT doc_id, string_split({clean('text')}, '') AS c FROM documents),
+_GRAMS = f"""WITH texts AS (
+    SELECT doc_id, string_split({clean('text')}, '') AS c FROM documents),
+chars AS (SELECT doc_id, unnest(c) AS c1, generate_subscripts(c, 1) AS pos FROM texts),
+runs AS (SELECT doc_id, c1, lead(c1, 1) OVER w AS c2, lead(c1, 2) OVER w AS c3,
+    lead(c1, 3) OVER w AS c4, lead(c1, 4) OVER w AS c5
+    FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 grams AS (
-    SELECT doc_id, unnest(flatten(list_transform([1, 2, 3, 4, 5], lambda n:
-        list_transform(range(1, greatest(len(c) - n + 2, 1)),
-            lambda i: array_to_string(c[i:i + n - 1], ''))))) AS gram FROM chars),
+    SELECT doc_id, c1 AS gram FROM runs
+    UNION ALL SELECT doc_id, c1 || c2 FROM runs WHERE c2 IS NOT NULL
+    UNION ALL SELECT doc_id, c1 || c2 || c3 FROM runs WHERE c3 IS NOT NULL
+    UNION ALL SELECT doc_id, c1 || c2 || c3 || c4 FROM runs WHERE c4 IS NOT NULL
+    UNION ALL SELECT doc_id, c1 || c2 || c3 || c4 || c5 FROM runs WHERE c5 IS NOT NULL),
 tf AS (SELECT doc_id, gram, count(*) AS tf FROM grams GROUP BY ALL),
 freq AS (SELECT gram, count(*) AS df FROM tf GROUP BY gram HAVING count(*) >= 2)
 """
@@ -390,5 +399,5 @@ def ngram_df(spark: SparkSession, sf: str) -> DataFrame:
         1.0::DOUBLE AS unit_square FROM w GROUP BY doc_id"""
 )
 def char_tfidf(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return tfidf.tfidf_summary(tfidf.char_tfidf(docs, "doc_id"), "doc_id")

@@ -50,11 +50,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *by: str) -> DataFrame:
     """Repartition a file scan that has fewer splits than there are cores.
 
-    For work that costs far more per row than shuffling it does. A table of many
+    For work that costs far more per row than shuffling it does; ``by`` may name a
+    key that a later aggregate can reuse. A table of many
     files has enough splits already and passes unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
