@@ -1,0 +1,222 @@
+"""Trained models: language, emotion, outside scorers, and the flows around them."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hearken.operators import models, sessions
+from hearken.operators.embedding import embed, embed_with, fit_embedder
+from hearken.operators.profile import assign_split
+from hearken.operators.retrieval import top_k
+from hearken.plans.answering import Replies, answer_requests, enrich_requests
+from hearken.plans.registry.base import query, table
+from hearken.plans.training import train_emotion_model, train_language_model
+from hearken.session import scratch_path, spread
+
+# Small settings, so that a check run trains in seconds.
+LANGUAGE = {"n_features": 2**14, "max_iter": 12}
+EMOTION = {"n_features": 2**12, "max_iter": 8}
+QUALITY = {0: "low", 1: "high"}
+
+
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return spread(assign_split(docs))
+
+
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    return _documents(spark, sf).join(labels, "doc_id")
+
+
+def _of_split(df: DataFrame, name: str) -> DataFrame:
+    return df.where(F.col("split") == name)
+
+
+def language_model(spark: SparkSession, sf: str) -> models.TextModel:
+    return models.train_language(_of_split(_documents(spark, sf), "train"), **LANGUAGE)
+
+
+def emotion_model(spark: SparkSession, sf: str) -> models.TextModel:
+    train = _of_split(_labelled(spark, sf), "train")
+    return models.train_emotion(train, label="quality", names=QUALITY, **EMOTION)
+
+
+@query()
+def language_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document, from a model that saw the training split."""
+    model = language_model(spark, sf)
+    return models.score(model, _documents(spark, sf)).select(
+        "doc_id",
+        "lang",
+        F.col("predicted.label").alias("predicted"),
+        F.round("predicted.confidence", 3).alias("confidence"),
+    )
+
+
+@query()
+def language_training(spark: SparkSession, sf: str) -> DataFrame:
+    """Train on two languages, save, and report on the test split."""
+    out = scratch_path(spark, "language")
+    _, report = train_language_model(_documents(spark, sf), out, ["en", "fr"], **LANGUAGE)
+    return report
+
+
+@query()
+def emotion_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Label, confidence and all probabilities of every document."""
+    model = emotion_model(spark, sf)
+    scored = models.score_emotion(model, _documents(spark, sf), detail="all")
+    return scored.select(
+        "doc_id",
+        "emotion",
+        F.round("emotion_confidence", 3).alias("confidence"),
+        *[F.round(F.col("all_probabilities")[x], 3).alias(x) for x in QUALITY.values()],
+    )
+
+
+@query()
+def best_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates by validation weighted F1; the best one is saved and tested."""
+    out = scratch_path(spark, "emotion")
+    candidates = [{**EMOTION, "c": c} for c in (1.0, 0.1)]
+    _, tried, tested = train_emotion_model(
+        _labelled(spark, sf), out, QUALITY, candidates, "quality"
+    )
+    measures = ["loss", "accuracy", "f1_weighted"]
+    return tried.select("setting", *measures).unionByName(
+        tested.select(F.lit("best, on test").alias("setting"), *measures)
+    )
+
+
+@query("SELECT doc_id, true AS same FROM documents")
+def saved_model(spark: SparkSession, sf: str) -> DataFrame:
+    """A model read back scores like the one that was saved."""
+    path = scratch_path(spark, "model")
+    model = language_model(spark, sf)
+    models.save_model(model, path)
+    docs = _documents(spark, sf)
+    now = models.score_language(model, docs, out="now")
+    both = models.score_language(models.load_model(path), now, out="later")
+    return both.select("doc_id", F.expr("now = later").alias("same"))
+
+
+def _letter_scorer():
+    """Stand-in for an outside model: scores from counts of three letters."""
+
+    def run(texts: list[str]) -> np.ndarray:
+        return np.array([[t.count(x) / max(len(t), 1) * 10 for x in "aeo"] for t in texts])
+
+    return run
+
+
+def _letters(column: str) -> str:
+    return ", ".join(
+        f"(length({column}) - length(replace({column}, '{x}', '')))"
+        f" / greatest(length({column}), 1) * 10.0" for x in "aeo"
+    )
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, [{_letters('text')}] AS v FROM documents),
+    e AS (SELECT doc_id, list_transform(v, lambda x: exp(x - list_max(v))) AS e FROM s),
+    p AS (SELECT doc_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e)
+    SELECT doc_id, ['a', 'e', 'o'][list_position(p, list_max(p))] AS label,
+        round(list_max(p), 6) AS confidence FROM p"""
+)
+def batched_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """An outside scorer, loaded once per task and called in mini-batches."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    scored = models.score_with(docs, _letter_scorer, ["a", "e", "o"])
+    return scored.select(
+        "doc_id",
+        F.col("predicted.label").alias("label"),
+        F.round("predicted.confidence", 6).alias("confidence"),
+    )
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, [{_letters('text')}] AS v FROM documents)
+    SELECT doc_id, round(v[1] / greatest(sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3]), 1e-12), 4)
+        AS first FROM s"""
+)
+def outside_encoder(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors from an outside encoder, scaled to unit length."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    first = F.col("embedding")[0].cast("double")
+    return embed_with(docs, _letter_scorer).select("doc_id", F.round(first, 4).alias("first"))
+
+
+# -- flows -------------------------------------------------------------------
+
+
+def requests_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Every user turn as a request."""
+    return table(spark, sf, "conversations").where(F.col("role") == "user").select(
+        F.concat_ws("/", "conv_id", "turn").alias("request_id"),
+        F.col("conv_id").cast("string").alias("session_id"),
+        F.col("text").alias("question"),
+        (F.col("turn") % 3 + 1).cast("int").alias("k"),
+        "conv_id",
+        "turn",
+    )
+
+
+def pivot_replies_of(requests: DataFrame) -> DataFrame:
+    """Pretended translations: the question in capitals, for even turns only."""
+    return requests.where(F.col("turn") % 2 == 0).select(
+        "request_id", F.upper("question").alias("reply")
+    )
+
+
+@query()
+def enriched_requests(spark: SparkSession, sf: str) -> DataFrame:
+    requests = requests_of(spark, sf)
+    enriched = enrich_requests(
+        requests, language_model(spark, sf), emotion_model(spark, sf), pivot_replies_of(requests)
+    )
+    return enriched.select(
+        "request_id", "question", "lang", "pivot_text", "pivot_text_status", "emotion", "intent"
+    )
+
+
+def answer_all(spark: SparkSession, sf: str, requests: DataFrame, language, emotion, embedder):
+    """Answers of ``requests`` over a document collection, with pretended model replies."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "source", "text"))
+    vectors = embed(embedder, docs).select(
+        "doc_id", F.col("source").alias("context"), F.col("text").alias("response"), "embedding"
+    )
+    turns = table(spark, sf, "conversations")
+    # The open request of a session has its history; replayed ones go without.
+    open_ones = sessions.open_requests(turns).select("conv_id", "request_turn")
+    history = sessions.history_lookup(open_ones, turns).select(
+        F.concat_ws("/", "conv_id", "request_turn").alias("request_id"), "turn", "role", "text"
+    )
+    ask = F.lit("asking_mental_health_question")
+    replies = Replies(
+        pivot=pivot_replies_of(requests),
+        answer=requests.where(F.col("turn") < 4).select(
+            "request_id", F.concat(F.lit("re: "), "question").alias("reply")
+        ),
+        finish=requests.select("request_id", F.concat(F.lit('"fin: '), "question", F.lit('"')).alias("reply")),
+        intent=requests.select(
+            "request_id", F.when(F.col("turn") % 4 == 0, ask).otherwise(F.lit("Thanks.")).alias("reply")
+        ),
+    )
+    return answer_requests(
+        requests, language, emotion, vectors, history, replies,
+        lambda df: embed(embedder, df, "pivot_text"),
+    )
+
+
+@query()
+def answered_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Each request with its answer; those the model has not answered yet wait."""
+    embedder = fit_embedder(table(spark, sf, "documents"))
+    _, answers = answer_all(
+        spark, sf, requests_of(spark, sf), language_model(spark, sf), emotion_model(spark, sf),
+        embedder,
+    )
+    return answers

@@ -179,15 +179,16 @@ def _payloads(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     """SELECT event_id, CASE WHEN reason IS NULL THEN event_type END AS question,
         CASE WHEN reason IS NULL THEN user_id::VARCHAR END AS session_id,
-        CASE WHEN reason IS NULL THEN CASE event_type WHEN 'view' THEN 4
-            ELSE (props->>'k')::INTEGER END END AS k, reason
+        CASE WHEN reason IS NOT NULL THEN -1 WHEN event_type = 'view' THEN 4
+            ELSE (props->>'k')::INTEGER END AS k, reason
     FROM (SELECT *, CASE event_type WHEN 'error' THEN 'malformed' WHEN 'signup' THEN 'no question'
         WHEN 'click' THEN 'k is not an integer' END AS reason FROM events)"""
 )
 def parse_requests(spark: SparkSession, sf: str) -> DataFrame:
     good, bad = routing.parse_requests(_payloads(spark, sf))
+    rejects = bad.select("event_id", "reason", F.lit(-1).alias("k"))
     return good.withColumn("reason", F.lit(None).cast("string")).unionByName(
-        bad.select("event_id", "reason"), allowMissingColumns=True
+        rejects, allowMissingColumns=True
     )
 
 
