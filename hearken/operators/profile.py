@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearken.functions.text import clean_text, text_length
-from hearken.operators.skew import ROWS_PER_SLICE, sliced_join
+from hearken.operators.skew import ROWS_PER_SLICE, heavy_from_counts, sliced_join
 
 
 def corpus_profile(df: DataFrame, context: str = "context", exact: bool = True) -> DataFrame:
@@ -86,10 +86,13 @@ def mark_duplicates(
     """
     keyed = df.withColumn("_digest", F.sha2(F.col(col).cast("binary"), 256))
     first = keyed.groupBy("_digest").agg(F.min(id_col).alias("_first"), F.count("*").alias("_n"))
-    repeated = first.where((F.col("_n") > 1) & F.col("_digest").isNotNull()).drop("_n")
+    repeated = first.where((F.col("_n") > 1) & F.col("_digest").isNotNull())
+    heavy = heavy_from_counts(repeated, ["_digest"], "_n", rows_per_slice)
     flag = F.coalesce(F.col(id_col) > F.col("_first"), F.lit(False))
     return (
-        sliced_join(keyed, repeated, ["_digest"], [id_col], "left", rows_per_slice)
+        sliced_join(
+            keyed, repeated.drop("_n"), ["_digest"], [id_col], "left", rows_per_slice, heavy
+        )
         .withColumn("is_duplicate", flag)
         .drop("_digest", "_first")
     )

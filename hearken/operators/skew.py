@@ -23,10 +23,22 @@ def heavy_keys(
     rows: DataFrame, keys: list[str], rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
     """Hash and slice count of the keys with more than ``rows_per_slice`` rows."""
+    counts = rows.groupBy(F.xxhash64(*keys).alias(_HASH)).agg(F.count("*").alias("_n"))
+    return _heaviest(counts, rows_per_slice)
+
+
+def heavy_from_counts(
+    per_key: DataFrame, keys: list[str], n: str, rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """The same from a table that already holds the row count ``n`` of each key."""
+    counts = per_key.select(F.xxhash64(*keys).alias(_HASH), F.col(n).alias("_n"))
+    return _heaviest(counts.where(F.col("_n") > rows_per_slice).groupBy(_HASH).agg(
+        F.sum("_n").alias("_n")), rows_per_slice)
+
+
+def _heaviest(counts: DataFrame, rows_per_slice: int) -> DataFrame:
     return (
-        rows.groupBy(F.xxhash64(*keys).alias(_HASH))
-        .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > rows_per_slice)
+        counts.where(F.col("_n") > rows_per_slice)
         .orderBy(F.desc("_n"), _HASH)
         .limit(MAX_HEAVY)
         .select(_HASH, F.ceil(F.col("_n") / rows_per_slice).cast("int").alias(_SLICES))
@@ -40,16 +52,16 @@ def sliced_join(
     spread_by: list[str],
     how: str = "inner",
     rows_per_slice: int = ROWS_PER_SLICE,
-    key_counts: DataFrame | None = None,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``per_key`` on ``keys`` with heavy keys spread by ``spread_by``.
 
     ``how`` may be any kind that keeps or filters ``rows``: inner, left,
-    left_semi, left_anti. ``key_counts`` is a cheaper table to count the keys on,
-    where one exists.
+    left_semi, left_anti. Keys are counted on ``rows`` unless ``heavy`` is given.
     """
-    counted = rows if key_counts is None else key_counts
-    heavy = F.broadcast(heavy_keys(counted, keys, rows_per_slice))
+    if heavy is None:
+        heavy = heavy_keys(rows, keys, rows_per_slice)
+    heavy = F.broadcast(heavy)
     slices = F.coalesce(F.col(_SLICES), F.lit(1))
     left = (
         rows.withColumn(_HASH, F.xxhash64(*keys))

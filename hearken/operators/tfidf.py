@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearken.functions.text import char_ngrams, clean_text
-from hearken.operators.skew import ROWS_PER_SLICE, sliced_join
+from hearken.operators.skew import ROWS_PER_SLICE, heavy_from_counts, sliced_join
 
 MIN_DF = 2
 
@@ -21,6 +21,9 @@ def ngram_df(docs: DataFrame, text: str = "text", min_df: int = MIN_DF) -> DataF
     """Documents per gram. Grams are made distinct inside each row, so no
     (document, gram) pair is shuffled and counts combine before the exchange."""
     grams = docs.select(F.explode(F.array_distinct(char_ngrams(clean_text(text)))).alias("gram"))
+    # No gram is null. Said here, the filter that joins add makes no second plan of it,
+    # and one exchange serves every use.
+    grams = grams.where(F.col("gram").isNotNull())
     return grams.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
 
 
@@ -38,24 +41,19 @@ def char_tfidf(
     """(id, gram, tf, weight, unit_weight) rows.
 
     The blank occurs in nearly every document, so the join to the df table is
-    sliced by document.
+    sliced by document. Norms are window sums per document, bounded by its text;
+    a separate aggregate would compute all weights twice.
     """
     counts = ngram_counts(docs, id_col, text)
     n_docs = docs.where(F.col(text).isNotNull()).agg(F.count("*")).scalar()
-    frequencies = counts.groupBy("gram").agg(F.count("*").alias("df")).where(
-        F.col("df") >= min_df
-    )
+    frequencies = ngram_df(docs, text, min_df)
+    heavy = heavy_from_counts(frequencies, ["gram"], "df", rows_per_slice)
+    # The df table is the small side of each partition: hash it, leave the counts unsorted.
     weighted = sliced_join(
-        counts, frequencies, ["gram"], [id_col], "inner", rows_per_slice
+        counts, frequencies.hint("shuffle_hash"), ["gram"], [id_col], "inner", rows_per_slice, heavy
     ).withColumn("weight", F.col("tf") * idf(n_docs, F.col("df")))
-    norms = weighted.groupBy(id_col).agg(
-        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm")
-    )
-    return (
-        weighted.join(norms, id_col)
-        .withColumn("unit_weight", F.col("weight") / F.col("_norm"))
-        .drop("_norm", "df")
-    )
+    square = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(id_col))
+    return weighted.withColumn("unit_weight", F.col("weight") / F.sqrt(square)).drop("df")
 
 
 def tfidf_summary(weights: DataFrame, id_col: str) -> DataFrame:

@@ -19,7 +19,7 @@ from hearken.operators.groups import (
     route_groups,
 )
 from hearken.operators.retrieval import assign_cells, build_cells
-from hearken.operators.skew import ROWS_PER_SLICE, sliced_join
+from hearken.operators.skew import ROWS_PER_SLICE, heavy_from_counts, sliced_join
 from hearken.operators.thinning import GROUP_ROWS, SEED, pick_representatives
 from hearken.session import scratch_path
 from hearken.sources.writers import write_vectors
@@ -44,11 +44,9 @@ def attach_routes(
     sizes = keyed.groupBy("_digest").agg(
         F.min("pair_id").alias("group_id"), F.count("*").alias("n")
     )
+    heavy = heavy_from_counts(sizes, ["_digest"], "n", rows_per_slice)
     return (
-        sliced_join(
-            keyed, sizes, ["_digest"], ["pair_id"], "inner", rows_per_slice,
-            key_counts=keyed.select("_digest"),
-        )
+        sliced_join(keyed, sizes, ["_digest"], ["pair_id"], "inner", rows_per_slice, heavy)
         .withColumn("route", route_for(F.col("n"), keep, min_responses))
         .drop("_digest")
     )
