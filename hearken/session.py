@@ -28,15 +28,16 @@ def local_session(cores: str = "8", app: str = "hearken") -> SparkSession:
 def shared_root(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; made up only on a local master."""
     context = spark.sparkContext
-    root = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
-    if not root:
+    root = spark.conf.get(CHECKPOINT_KEY, None)
+    if root:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(root)
+        return root
+    if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="hearken-")
-        spark.conf.set(CHECKPOINT_KEY, root)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(root)
-    return root
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="hearken-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
