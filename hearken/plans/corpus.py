@@ -16,7 +16,6 @@ from hearken.operators.groups import (
     recombine,
     reduction_report,
     route_for,
-    route_groups,
 )
 from hearken.operators.retrieval import assign_cells, build_cells
 from hearken.operators.skew import ROWS_PER_SLICE, heavy_from_counts, sliced_join
@@ -86,7 +85,8 @@ def build_corpus(
     picks = pick_representatives(embedded, keep, dedupe, seed, group_rows, any_large=any_large)
     # pair_id is unique among the crowded rows, so this join has no hot key.
     thinned = picks.join(crowded, "pair_id").select("pair_id", "context", "response")
-    groups = route_groups(pairs, "pair_id", "context", keep, min_responses)
+    # The first row of a group stands for it, so the report needs no second grouping.
+    groups = routed.where(F.col("pair_id") == F.col("group_id"))
     missing = pairs.where(F.col("context").isNull())
     return recombine(kept, thinned), reduction_report(groups, keep, missing)
 
