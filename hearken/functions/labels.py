@@ -7,7 +7,8 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hearken.functions.text import has_word, strip
+from hearken.functions.text import clean_text, strip, word_pattern
+from hearken.functions.vectors import let
 
 # Intent labels, emotion labels, pivot language names and defaults.
 INTENTS = [
@@ -71,10 +72,15 @@ def intent_by_rules(
 ) -> Column:
     """First intent, by priority, one of whose lexicon entries occurs in the text."""
     lexicon = lexicon or INTENT_LEXICON
-    rule = F
-    for intent in priority or INTENT_PRIORITY:
-        rule = rule.when(has_word(c, lexicon[intent]), F.lit(intent))
-    return rule.otherwise(F.lit(OUT_OF_SCOPE))
+
+    def first_match(clean: Column) -> Column:
+        rule = F
+        for intent in priority or INTENT_PRIORITY:
+            rule = rule.when(clean.rlike(word_pattern(lexicon[intent])), F.lit(intent))
+        return rule.otherwise(F.lit(OUT_OF_SCOPE))
+
+    # Cleaned once, not once per intent.
+    return let(clean_text(c), first_match)
 
 
 def reply_field(payload: Column | str) -> Column:

@@ -97,13 +97,11 @@ def truncate_tokens(c: Column | str, limit: int = MAX_TOKENS) -> Column:
     return F.array_join(F.slice(F.split(clean_text(c), " "), 1, limit), " ")
 
 
-def has_word(c: Column | str, lexicon: list[str]) -> Column:
-    """True if any entry occurs in ``c`` as a whole word or phrase, any case."""
-    return F.coalesce(clean_text(c).rlike(word_pattern(lexicon)), F.lit(False))
-
-
 def word_pattern(lexicon: list[str]) -> str:
-    r"""Pattern that both Java and RE2 read alike: no \b, no look-around."""
+    r"""Pattern for any entry as a whole word or phrase of normalised text.
+
+    Java and RE2 read it alike: no \b, no look-around.
+    """
     edge = r"[^\p{L}\p{N}_]"
     special = set("\\^$.|?*+()[]{}")
     entries = "|".join(
