@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +18,12 @@ from hearken.operators.groups import (
     reduction_report,
     route_for,
 )
-from hearken.operators.retrieval import assign_cells, build_cells
+from hearken.operators.retrieval import Cells, assign_cells, fit_centres, measure_cells
 from hearken.operators.skew import ROWS_PER_SLICE, heavy_from_counts, sliced_join
 from hearken.operators.thinning import GROUP_ROWS, SEED, pick_representatives
 from hearken.session import scratch_path
-from hearken.sources.writers import write_vectors
+from hearken.sources.readers import read_cells, read_vectors
+from hearken.sources.writers import write_cells, write_vectors
 
 Embed = Callable[[DataFrame], DataFrame]
 
@@ -101,7 +103,8 @@ def index_documents(
 ) -> None:
     """Embed (doc_id, context, response) rows and write the vectors table.
 
-    With ``n_cells`` the rows are divided into cells for ``top_k_cells``.
+    With ``n_cells`` the rows are divided into cells and the cell table is written
+    beside them, so ``open_cells`` can search the stored rows.
     """
     docs = drop_blank(documents, text)
     if embedder is None:
@@ -109,11 +112,27 @@ def index_documents(
         vectors = embed(model, docs, text)
     else:
         vectors = embedder(docs)
-    if n_cells:
-        cells = build_cells(vectors, n_cells)
-        vectors = assign_cells(vectors, cells.centres)
-    write_vectors(vectors, path, force_recreate)
-
-
-def open_collection(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    if not n_cells:
+        write_vectors(vectors, path, force_recreate)
+        return
+    centres = fit_centres(vectors, n_cells)
+    write_vectors(assign_cells(vectors, centres), path, force_recreate)
+    # Measured on the stored rows, so texts are not embedded once more.
+    spark = documents.sparkSession
+    cells = measure_cells(read_vectors(spark, path), centres)
+    write_cells(spark, cells, _cells_path(path), force_recreate)
+
+
+def _cells_path(path: str) -> str:
+    return f"{path.rstrip('/')}-cells"
+
+
+def open_cells(spark: SparkSession, path: str) -> Cells:
+    """The stored vectors with their cells, ready for ``top_k_cells``."""
+    stored = read_cells(spark, _cells_path(path)).orderBy("cell").collect()  # one row per cell
+    return Cells(
+        read_vectors(spark, path),
+        np.array([r["centre"] for r in stored]),
+        np.array([r["radius"] for r in stored]),
+        np.array([r["n"] for r in stored]),
+    )

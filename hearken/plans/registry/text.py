@@ -20,6 +20,7 @@ from hearken.functions.text import (
 )
 from hearken.functions.vectors import let, prediction, softmax
 from hearken.operators import metrics, profile, tfidf
+from hearken.operators.groups import recombine
 from hearken.plans.registry.base import clean, query, table
 from hearken.session import spread
 from hearken.sources.readers import features_and_label
@@ -237,26 +238,30 @@ pred AS (SELECT *, CASE y {' '.join(f"WHEN '{x}' THEN q_{x}" for x in LANGS)} EN
     FROM probs)
 """
 
-_PER_CLASS = """,
-lab AS (SELECT DISTINCT label FROM (SELECT y AS label FROM pred UNION ALL SELECT p FROM pred)),
-stats AS (SELECT label,
-    (SELECT count(*) FROM pred WHERE y = label) AS support,
-    (SELECT count(*) FROM pred WHERE p = label) AS predicted,
-    (SELECT count(*) FROM pred WHERE y = label AND p = label) AS hit FROM lab),
-report AS (SELECT label,
-    CASE WHEN predicted = 0 THEN 0.0 ELSE hit / predicted END AS precision_,
-    CASE WHEN support = 0 THEN 0.0 ELSE hit / support END AS recall_,
-    CASE WHEN support + predicted = 0 THEN 0.0 ELSE 2.0 * hit / (support + predicted) END AS f1,
-    support FROM stats),
-full_report AS (
+
+
+def _full_report(rows: str) -> str:
+    """SQL for the class report of a (y, p) relation, with both averages."""
+    return f"""(WITH r AS (SELECT * FROM {rows}),
+    lab AS (SELECT DISTINCT label FROM (SELECT y AS label FROM r UNION ALL SELECT p FROM r)),
+    stats AS (SELECT label,
+        (SELECT count(*) FROM r WHERE y = label) AS support,
+        (SELECT count(*) FROM r WHERE p = label) AS predicted,
+        (SELECT count(*) FROM r WHERE y = label AND p = label) AS hit FROM lab),
+    report AS (SELECT label,
+        CASE WHEN predicted = 0 THEN 0.0 ELSE hit / predicted END AS precision_,
+        CASE WHEN support = 0 THEN 0.0 ELSE hit / support END AS recall_,
+        CASE WHEN support + predicted = 0 THEN 0.0
+            ELSE 2.0 * hit / (support + predicted) END AS f1,
+        support FROM stats)
     SELECT label, precision_, recall_, f1, support FROM report
     UNION ALL
     SELECT 'macro', avg(precision_), avg(recall_), avg(f1), sum(support)::BIGINT FROM report
     UNION ALL
     SELECT 'weighted', sum(precision_ * support) / sum(support),
         sum(recall_ * support) / sum(support), sum(f1 * support) / sum(support),
-        sum(support)::BIGINT FROM report)
-"""
+        sum(support)::BIGINT FROM report)"""
+
 
 _REPORT_COLUMNS = """label, round(precision_, 6) AS precision, round(recall_, 6) AS recall,
     round(f1, 6) AS f1, support"""
@@ -310,15 +315,14 @@ def confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.confusion_matrix(_rule_predictions(spark, sf), LANGS)
 
 
-@query(_PREDICTED + _PER_CLASS + f"SELECT {_REPORT_COLUMNS} FROM full_report")
+@query(_PREDICTED + f"SELECT {_REPORT_COLUMNS} FROM {_full_report('pred')}")
 def class_report(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded_report(metrics.full_report(_rule_predictions(spark, sf)))
 
 
 @query(
     _PREDICTED
-    + _PER_CLASS
-    + "SELECT round(sum(f1 * support) / sum(support), 6) AS f1_weighted FROM report"
+    + f"SELECT round(f1, 6) AS f1_weighted FROM {_full_report('pred')} WHERE label = 'weighted'"
 )
 def weighted_f1(spark: SparkSession, sf: str) -> DataFrame:
     result = metrics.weighted_f1(_rule_predictions(spark, sf))
@@ -343,23 +347,39 @@ def log_loss(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+SPLITS = ["train", "validation", "test"]
+
+
 @query(
     _PREDICTED
-    + _PER_CLASS
-    + f""", split AS (SELECT doc_id, {_SPLIT} AS split FROM ({_BUCKETS}))
-    SELECT {_REPORT_COLUMNS}, 'all' AS split FROM full_report"""
+    + f""", split AS (SELECT doc_id, {_SPLIT} AS split FROM ({_BUCKETS})),
+    tagged AS (SELECT * FROM pred JOIN split USING (doc_id))
+    """
+    + " UNION ALL ".join(
+        f"SELECT {_REPORT_COLUMNS}, '{x}' AS split FROM"
+        f" {_full_report(f"(SELECT * FROM tagged WHERE split = '{x}')")}"
+        for x in SPLITS
+    )
 )
 def language_report(spark: SparkSession, sf: str) -> DataFrame:
-    report = _rounded_report(metrics.full_report(_rule_predictions(spark, sf)))
-    return report.withColumn("split", F.lit("all"))
+    """The class report of each split."""
+    tagged = profile.assign_split(_rule_scores(spark, sf)).select(
+        F.col("lang").alias("y"), F.col("predicted.label").alias("p"), "split"
+    )
+    reports = [
+        _rounded_report(metrics.full_report(tagged.where(F.col("split") == x))).withColumn(
+            "split", F.lit(x)
+        )
+        for x in SPLITS
+    ]
+    return recombine(*reports)
 
 
 @query(
     _PREDICTED
-    + _PER_CLASS
-    + """SELECT round((SELECT avg(-ln(greatest(p_true, 1e-15))) FROM pred), 6) AS loss,
+    + f"""SELECT round((SELECT avg(-ln(greatest(p_true, 1e-15))) FROM pred), 6) AS loss,
         round((SELECT avg((y = p)::INT) FROM pred), 6) AS accuracy,
-        round(sum(f1 * support) / sum(support), 6) AS f1_weighted FROM report"""
+        round(f1, 6) AS f1_weighted FROM {_full_report('pred')} WHERE label = 'weighted'"""
 )
 def classifier_report(spark: SparkSession, sf: str) -> DataFrame:
     result = metrics.evaluation(_rule_predictions(spark, sf))
