@@ -1,6 +1,6 @@
 """All queries of the package, by name."""
 
-from hearken.llm import lines
+from hearken.llm import decontaminate, lines, tokens
 from hearken.llm.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "lines"]
+__all__ = ["ORACLES", "QUERIES", "decontaminate", "lines", "tokens"]
