@@ -1,6 +1,6 @@
 """All queries of the package, by name."""
 
-from hearken.llm import decontaminate, lines, tokenfile, tokens
+from hearken.llm import decontaminate, lines, mixing, tokenfile, tokens
 from hearken.llm.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "decontaminate", "lines", "tokenfile", "tokens"]
+__all__ = ["ORACLES", "QUERIES", "decontaminate", "lines", "mixing", "tokenfile", "tokens"]
