@@ -63,3 +63,15 @@ def text_key(text: Column) -> Column:
 SQL_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 SQL_LOWER = f"translate({{0}}, '{_UPPER}', '{_UPPER.lower()}')"
 SQL_WORDS = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
+
+#: Bytes of one batch between Spark and Python; long texts make smaller batches.
+ARROW_BATCH = 32 << 20
+
+
+def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes, not only by rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    if int(conf.get(key, str(ARROW_BATCH))) > ARROW_BATCH:
+        conf.set(key, str(ARROW_BATCH))
+    return df.mapInArrow(run, schema)

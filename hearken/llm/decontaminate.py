@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearken.llm import common
-from hearken.llm.common import query, stored, table, text_key
+from hearken.llm.common import in_arrow, query, stored, table, text_key
 from hearken.llm.hashing import PUNCTUATION, hashed_texts, window_hashes
 
 WINDOW = 10
@@ -57,11 +57,11 @@ def item_windows(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
             )
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    return (
-        benchmark.select("item_id", "text")
-        .mapInArrow(cut, f"item_id {kind}, size int, words array<long>, shingles array<long>")
-        .distinct()
-    )
+    return in_arrow(
+        benchmark.select("item_id", "text"),
+        cut,
+        f"item_id {kind}, size int, words array<long>, shingles array<long>",
+    ).distinct()
 
 
 def with_prefix(windows: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def find_windows(
                     names=["doc_id", "key", "n_words", "n_hit", "matches"],
                 )
 
-        return rows.mapInArrow(look, schema)
+        return in_arrow(rows, look, schema)
 
     out_type = pa.list_(
         pa.struct([("item_id", _arrow(kind)), ("start", pa.int32()), ("size", pa.int32())])

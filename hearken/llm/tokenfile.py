@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hearken.llm.common import query, stored, table
+from hearken.llm.common import in_arrow, query, stored, table
 from hearken.llm.tokens import _groups, tokenizer_path, worker_encoder
 from hearken.session import scratch_path
 
@@ -63,11 +63,11 @@ def encode_documents(docs: DataFrame, path: str | None = None, end_id: int = END
             place += n
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return (
-        docs.select("doc_id", "text")
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(encode, f"doc_id {kind}, shard int, place long, ids array<int>")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id")
+    return in_arrow(
+        ordered.sortWithinPartitions("doc_id", "text"),
+        encode,
+        f"doc_id {kind}, shard int, place long, ids array<int>",
     )
 
 
@@ -107,8 +107,8 @@ def token_index(tokens: DataFrame) -> DataFrame:
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
     rows = stored(
-        tokens.mapInArrow(
-            digest, f"doc_id {kind}, shard int, place long, n_tokens long, ids_crc32 long"
+        in_arrow(
+            tokens, digest, f"doc_id {kind}, shard int, place long, n_tokens long, ids_crc32 long"
         ),
         "token_lengths",
     )

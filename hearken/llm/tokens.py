@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearken.llm.common import query, table
+from hearken.llm.common import in_arrow, query, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces in the broadcast table, and the rows of text it is drawn from. Both only
@@ -170,8 +170,7 @@ def _frequent_pieces(docs: DataFrame, path: str, rows: int, keep: int) -> dict[s
         )
 
     top = (
-        docs.select("text")
-        .mapInArrow(pieces, "piece string, n long")
+        in_arrow(docs.select("text"), pieces, "piece string, n long")
         .groupBy("piece")
         .agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "piece")
@@ -215,8 +214,8 @@ def count_tokens(
                 names=["doc_id", "n_bytes", "n_tokens"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long"
+    return in_arrow(
+        docs.select("doc_id", "text"), count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long"
     )
 
 
