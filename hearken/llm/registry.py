@@ -1,6 +1,6 @@
 """All queries of the package, by name."""
 
-from hearken.llm import decontaminate, lines, mixing, neardup, tokenfile, tokens
+from hearken.llm import decontaminate, language, lines, mixing, neardup, tokenfile, tokens, toxicity
 from hearken.llm.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "decontaminate", "lines", "mixing", "neardup", "tokenfile", "tokens"]
+__all__ = ["ORACLES", "QUERIES", "decontaminate", "language", "lines", "mixing", "neardup", "tokenfile", "tokens", "toxicity"]
