@@ -136,7 +136,7 @@ _MATCH = "array<struct<item_id: {0}, start: int, size: int>>"
 def find_windows(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK_WINDOWS
 ) -> DataFrame:
-    """``doc_id, n_words, n_hit, matches`` of every row of ``docs``.
+    """``doc_id, key, n_words, n_hit, matches`` of every row; ``key`` is ``text_key``'s.
 
     ``matches`` lists item, first word and length of every occurring window; ``n_hit``
     counts the words inside any of them. Null or wordless texts have no words and no
@@ -184,7 +184,7 @@ def find_windows(
         pa.struct([("item_id", _arrow(kind)), ("start", pa.int32()), ("size", pa.int32())])
     )
     if blocks == 1:
-        return one_pass(0).drop("key")
+        return one_pass(0)
     first, *others = [one_pass(b) for b in range(blocks)]
     more = others[0]
     for other in others[1:]:
@@ -200,11 +200,25 @@ def find_windows(
     every = F.when(F.col("_more").isNull(), F.col("matches")).otherwise(
         F.concat("matches", "_more")
     )
-    return joined.select("doc_id", "n_words", every.alias("matches")).select(
-        "doc_id", "n_words", _words_hit(F.col("matches")).alias("n_hit"), "matches"
+    return joined.select("doc_id", "key", "n_words", every.alias("matches")).select(
+        "doc_id", "key", "n_words", _words_hit(F.col("matches")).alias("n_hit"), "matches"
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs``, all columns, without the documents that hold any window of an item."""
+    hit = (
+        find_windows(docs, benchmark, window)
+        .where("n_hit > 0")
+        .select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+        .distinct()
+    )
+    keyed = docs.withColumn("_row", text_key(F.col("text")))
+    return keyed.join(
+        hit, keyed["doc_id"].eqNullSafe(hit["_id"]) & (keyed["_row"] == hit["_key"]), "left_anti"
+    ).drop("_row")
+
+
 def _words_hit(matches):
     """Length of the union of the spans: sorted by start, each adds what it has beyond the last."""
     spans = F.array_sort(F.transform(matches, lambda m: F.struct(m["start"], m["size"])))

@@ -30,6 +30,8 @@ ITERATIONS = 25
 OVERLAP = 3.0
 PENALTY = 2.0
 SMOOTHING = 0.5
+#: Below this no language accounts for enough of a text to keep it.
+LEAST_SCORE = 0.4
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -148,6 +150,14 @@ def fit_languages(labelled: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel
     return LanguageModel(languages, counts)
 
 
+def predict(model: LanguageModel | None, text: str | None):
+    """Label, score and chosen languages of one text."""
+    if model is None or not has_letter(text):
+        return UNKNOWN, 0.0, []
+    found, score = model.infer(text)
+    return found[0][0], score, found
+
+
 def identify_languages(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """``doc_id, lang_pred, score, languages`` of every row, from its text alone.
 
@@ -160,23 +170,14 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None) -> DataFram
     kinds = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            labels, scores, all_found = [], [], []
-            for text in batch.column("text").to_pylist():
-                if model is None or not has_letter(text):
-                    found, score = [], 0.0
-                else:
-                    found, score = model.infer(text)
-                labels.append(found[0][0] if found else UNKNOWN)
-                scores.append(score)
-                all_found.append([{"lang": lang, "share": share} for lang, share in found])
+            found = [predict(shared.value, t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array(labels, pa.string()),
-                    pa.array(scores, pa.float64()),
-                    pa.array(all_found, kinds),
+                    pa.array([f[0] for f in found], pa.string()),
+                    pa.array([f[1] for f in found], pa.float64()),
+                    pa.array([[{"lang": x, "share": y} for x, y in f[2]] for f in found], kinds),
                 ],
                 names=["doc_id", "lang_pred", "score", "languages"],
             )
@@ -190,6 +191,22 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None) -> DataFram
     )
 
 
+def keep_identified(
+    docs: DataFrame, model: LanguageModel | None, least_score: float = LEAST_SCORE
+) -> DataFrame:
+    """Rows of ``docs``, all columns as they are, whose language is known: not ``und``, and
+    with a score of at least ``least_score``. Nothing is kept if nothing was learned."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (predict(shared.value, t) for t in batch.column("text").to_pylist())
+            stay = [label != UNKNOWN and score >= least_score for label, score, _ in found]
+            yield batch.filter(pa.array(stay, pa.bool_()))
+
+    return in_arrow(docs, keep, docs.schema)
+
+
 @query()
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every whole text; every fourth id's label is never seen."""

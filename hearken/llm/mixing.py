@@ -237,6 +237,55 @@ def mixed_sizes(whole: DataFrame, parts: DataFrame) -> DataFrame:
     )
 
 
+def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """The mix as documents, with the columns of ``docs``: one row for each document and
+    pass that takes any of its words.
+
+    A document taken whole keeps its text; else its text is the taken words in order, joined
+    by single spaces. ``n_chars``, if there is such a column, follows the text. Of other
+    columns equal rows share one row's values.
+    """
+    _, parts = mix(docs, block, seed)
+    taken = (
+        parts.groupBy("row", "pass")
+        .agg(
+            F.sum("words").cast("int").alias("words"),
+            F.array_sort(F.collect_list(F.struct("first", "words"))).alias("spans"),
+        )
+        .groupBy(
+            F.col("row.doc_id").alias("_id"),
+            F.col("row.key").alias("_key"),
+            F.col("row.source").alias("_source"),
+        )
+        .agg(F.collect_list(F.struct("words", "spans")).alias("_taken"))
+    )
+    keyed = docs.withColumn("_row", text_key(F.col("text")))
+    joined = keyed.join(
+        taken,
+        keyed["doc_id"].eqNullSafe(taken["_id"])
+        & (keyed["_row"] == taken["_key"])
+        & keyed["source"].eqNullSafe(taken["_source"]),
+    ).dropDuplicates(["doc_id", "_row", "source"])
+    each = joined.withColumn("_part", F.explode("_taken")).withColumn(
+        "_words", common.word_array(F.col("text"))
+    )
+    cut = F.flatten(
+        F.transform(
+            "_part.spans",
+            lambda s: F.slice("_words", s["first"].cast("int") + 1, s["words"].cast("int")),
+        )
+    )
+    text = F.when(F.col("_part.words") == F.size("_words"), F.col("text")).otherwise(
+        F.array_join(cut, " ")
+    )
+    mixed = each.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        mixed = mixed.withColumn(
+            "n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)
+        )
+    return mixed.select(*docs.columns)
+
+
 @query()
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document, and its source's target."""

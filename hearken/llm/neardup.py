@@ -13,8 +13,9 @@ A round has at most four times the centres of the one before it; only documents
 different components are paired and no pair is tried twice. So nothing that shares a bucket and
 could join two components stays unseen, while a group of copies costs one star.
 
-Of two documents with similarity s, a band agrees with chance s**ROWS: with 6 rows and 32 bands
-a link at 0.85 misses all buckets with a chance of about 3e-7, and more similar ones with less.
+Of two documents with similarity s, a band of r rows agrees with chance s**r. With 6 rows and
+32 bands a link at 0.85 misses all buckets with a chance of about 3e-7, with 5 rows and 38
+bands a link at 0.8 does; more similar ones with less.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearken.llm import common
-from hearken.llm.common import in_arrow, query, stored, table
+from hearken.llm.common import in_arrow, query, stored, table, text_key
 from hearken.llm.components import connected_components
 from hearken.llm.hashing import (
     SPACES,
@@ -39,8 +40,9 @@ from hearken.llm.hashing import (
 )
 
 WORDS = 5
-ROWS, BANDS = 6, 32
-BINS = ROWS * BANDS
+BINS = 192
+#: Rows of a band, for links from 85 per cent and for those from 80.
+ROWS, LOOSE_ROWS = 6, 5
 #: Candidate ids that are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -48,8 +50,8 @@ BROADCAST_IDS = 2_000_000
 _PROBES = np.array(
     [np.random.default_rng([7, i]).permutation(BINS) for i in range(BINS)], np.int64
 ).T.copy()
-_BAND_SALT = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
-_FACTOR = np.array([pow(0xC2B2AE3D27D4EB4F, k, 1 << 64) for k in range(ROWS)], np.uint64)
+_BAND_SALT = mix(np.arange(1, BINS + 1, dtype=np.uint64))
+_FACTOR = np.array([pow(0xC2B2AE3D27D4EB4F, k, 1 << 64) for k in range(BINS)], np.uint64)
 
 
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
@@ -61,8 +63,8 @@ def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(window_hashes(words, size))
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
-    """Bucket keys of a sorted, non-empty set of hashes."""
+def band_keys(values: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """Bucket keys of a sorted, non-empty set of hashes, one for each band of ``rows`` bins."""
     bins = ((values >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
     first = np.concatenate(([0], np.flatnonzero(bins[1:] != bins[:-1]) + 1))
     signature = np.zeros(BINS, np.uint64)
@@ -80,11 +82,13 @@ def band_keys(values: np.ndarray) -> np.ndarray:
         source = probes[hit.argmax(axis=0), np.arange(len(empty))]
         signature[empty[found]] = signature[source[found]]
         empty = empty[~found]
-    return mix((signature.reshape(BANDS, ROWS) * _FACTOR).sum(axis=1, dtype=np.uint64) ^ _BAND_SALT)
+    bands = BINS // rows
+    joined = signature[: bands * rows].reshape(bands, rows) * _FACTOR[:rows]
+    return mix(joined.sum(axis=1, dtype=np.uint64) ^ _BAND_SALT[:bands])
 
 
-def signatures(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """``doc_id, n_shingles, digest, bands`` of every row; no digest or bands for an empty set."""
+def signatures(docs: DataFrame, size: int = WORDS, band_rows: int = ROWS) -> DataFrame:
+    """``doc_id, key, n_shingles, digest, bands`` of every row; no digest or bands for an empty set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,22 +98,23 @@ def signatures(docs: DataFrame, size: int = WORDS) -> DataFrame:
                 values = shingle_set(words, size)
                 counts.append(len(values))
                 digests.append(set_digest(values) if len(values) else None)
-                bands.append(band_keys(values).view(np.int64) if len(values) else None)
+                bands.append(band_keys(values, band_rows).view(np.int64) if len(values) else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("key"),
                     pa.array(counts, pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "digest", "bands"],
+                names=["doc_id", "key", "n_shingles", "digest", "bands"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return in_arrow(
-        docs.select("doc_id", "text"),
+        docs.select("doc_id", "text", text_key(F.col("text")).alias("key")),
         sign,
-        f"doc_id {kind}, n_shingles long, digest binary, bands array<long>",
+        f"doc_id {kind}, key long, n_shingles long, digest binary, bands array<long>",
     )
 
 
@@ -218,7 +223,7 @@ def _stars(members: DataFrame, turn: int, percent: int) -> tuple[DataFrame, Data
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = WORDS) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs``.
+    """``doc_id, key, n_shingles, component_id`` of every row; ``key`` is ``text_key``'s.
 
     Documents are linked if their intersection holds at least ``percent`` per cent of
     their union; ``component_id`` is the least id reachable over links. Null and wordless
@@ -227,7 +232,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = WORDS) -> Da
     with one name. A row without id keeps a null component unless another row of
     its class has one. Other columns are ignored; an empty table gives an empty result.
     """
-    signed = stored(signatures(docs, size), "signatures")
+    if percent < 80:
+        raise ValueError("bands are laid out for links from 80 per cent")
+    rows = ROWS if percent >= 85 else LOOSE_ROWS
+    signed = stored(signatures(docs, size, rows), "signatures")
     classes = stored(
         signed.where("n_shingles > 0")
         .groupBy("digest")
@@ -282,6 +290,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = WORDS) -> Da
         roots = roots.withColumnRenamed("rep", "component_id")
     return signed.join(roots, F.col("digest") == F.col("_digest"), "left").select(
         "doc_id",
+        "key",
         "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id"))
         .otherwise(F.col("component_id"))
@@ -289,6 +298,35 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = WORDS) -> Da
     )
 
 
+def keep_one_of_each(docs: DataFrame, percent: int = 80, size: int = WORDS) -> DataFrame:
+    """``docs``, all columns, with one document of each component: the one of least id.
+
+    Of rows equal in id and text one stays. Documents without words all stay.
+    """
+    found = near_duplicates(docs, percent, size)
+    fate = stored(
+        found.groupBy("doc_id", "key")
+        .agg(
+            F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_kept"),
+            F.count("*").alias("_n"),
+        )
+        .where("NOT _kept OR _n > 1")
+        .select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_kept"),
+        "fates",
+    )
+    keyed = docs.withColumn("_row", text_key(F.col("text")))
+
+    def same(other: DataFrame):
+        return keyed["doc_id"].eqNullSafe(other["_id"]) & (keyed["_row"] == other["_key"])
+
+    stay = keyed.join(fate, same(fate), "left_anti").drop("_row")
+    repeated = fate.where("_kept")
+    if repeated.isEmpty():
+        return stay
+    once = keyed.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "_row"])
+    return stay.unionByName(once.drop("_row"))
+
+
 _WORDS = common.SQL_WORDS.format(common.SQL_LOWER.format("coalesce(text, '')"))
 
 
@@ -312,6 +350,5 @@ _WORDS = common.SQL_WORDS.format(common.SQL_LOWER.format("coalesce(text, '')"))
 )
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate ``documents`` (similarity of 0.85 on 5-word shingles)."""
-    return near_duplicates(table(spark, sf_dir, "documents")).withColumn(
-        "kept", F.col("doc_id") == F.col("component_id")
-    )
+    found = near_duplicates(table(spark, sf_dir, "documents")).drop("key")
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
