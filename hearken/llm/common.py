@@ -59,6 +59,16 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, _row, _doc``: id and text key of each row, and all its columns in one struct,
+    so that names in ``docs`` meet no others. ``select("_doc.*")`` gives the rows back."""
+    return docs.select(
+        "doc_id",
+        text_key(F.col("text")).alias("_row"),
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"),
+    )
+
+
 #: DuckDB counterparts.
 SQL_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 SQL_LOWER = f"translate({{0}}, '{_UPPER}', '{_UPPER.lower()}')"

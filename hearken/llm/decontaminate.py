@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearken.llm import common
-from hearken.llm.common import in_arrow, query, stored, table, text_key
+from hearken.llm.common import in_arrow, query, stored, table, text_key, whole_rows
 from hearken.llm.hashing import PUNCTUATION, hashed_texts, window_hashes
 
 WINDOW = 10
@@ -213,10 +213,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
         .select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
         .distinct()
     )
-    keyed = docs.withColumn("_row", text_key(F.col("text")))
+    keyed = whole_rows(docs)
     return keyed.join(
         hit, keyed["doc_id"].eqNullSafe(hit["_id"]) & (keyed["_row"] == hit["_key"]), "left_anti"
-    ).drop("_row")
+    ).select("_doc.*")
 
 
 def _words_hit(matches):

@@ -55,7 +55,7 @@ def fingerprint_columns(df: DataFrame, keys: list[str], term: str) -> DataFrame:
 
     ``term`` is the term's hash; null stands for a text without terms, which gets 0.
     """
-    second = F.xxhash64(term)
+    second = F.when(F.col(term).isNotNull(), F.xxhash64(term))
     lanes = [
         F.sum(F.shiftright(h, k).bitwiseAND(F.lit(_LANES))).alias(f"{name}{k}")
         for name, h in (("a", F.col(term)), ("b", second))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearken.llm import common
-from hearken.llm.common import query, stored, table, text_key
+from hearken.llm.common import query, stored, table, text_key, whole_rows
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -259,15 +259,15 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED)
         )
         .agg(F.collect_list(F.struct("words", "spans")).alias("_taken"))
     )
-    keyed = docs.withColumn("_row", text_key(F.col("text")))
+    keyed = whole_rows(docs).withColumn("_from", F.col("_doc.source"))
     joined = keyed.join(
         taken,
         keyed["doc_id"].eqNullSafe(taken["_id"])
         & (keyed["_row"] == taken["_key"])
-        & keyed["source"].eqNullSafe(taken["_source"]),
-    ).dropDuplicates(["doc_id", "_row", "source"])
+        & keyed["_from"].eqNullSafe(taken["_source"]),
+    ).dropDuplicates(["doc_id", "_row", "_from"])
     each = joined.withColumn("_part", F.explode("_taken")).withColumn(
-        "_words", common.word_array(F.col("text"))
+        "_words", common.word_array(F.col("_doc.text"))
     )
     cut = F.flatten(
         F.transform(
@@ -275,15 +275,13 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED)
             lambda s: F.slice("_words", s["first"].cast("int") + 1, s["words"].cast("int")),
         )
     )
-    text = F.when(F.col("_part.words") == F.size("_words"), F.col("text")).otherwise(
-        F.array_join(cut, " ")
-    )
-    mixed = each.withColumn("text", text)
+    whole = F.col("_part.words") == F.size("_words")
+    text = F.when(whole, F.col("_doc.text")).otherwise(F.array_join(cut, " "))
+    mixed = each.withColumn("_doc", F.col("_doc").withField("text", text))
     if "n_chars" in docs.columns:
-        mixed = mixed.withColumn(
-            "n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)
-        )
-    return mixed.select(*docs.columns)
+        length = F.length("_doc.text").cast(docs.schema["n_chars"].dataType)
+        mixed = mixed.withColumn("_doc", F.col("_doc").withField("n_chars", length))
+    return mixed.select("_doc.*")
 
 
 @query()
