@@ -26,18 +26,18 @@ PIVOT = "en"
 DEFAULT_EMOTION = "neutral"
 DEFAULT_K = 4
 
-# Whole words or phrases that show an intent. A baseline for the hosted model;
-# pass another mapping to extend it.
+# Whole words that show an intent, from everyday vocabulary. A baseline for the hosted
+# model; pass another mapping to extend it.
 INTENT_LEXICON = {
     "asking_mental_health_question": [
-        "depressed", "anxious", "anxiety", "hopeless", "stress", "stressed",
-        "want to die", "suicidal", "panic", "overwhelmed", "lonely", "worthless",
-        "tired of everything", "hurt myself", "i feel sad", "feeling sad", "can't cope",
-        "what i'm feeling", "what i’m feeling", "مكتئب", "قلق",
+        "afraid", "angst", "anxiety", "anxious", "burnout", "crying", "depressed", "despair",
+        "empty", "grief", "grieving", "guilt", "hopeless", "insomnia", "lonely", "loneliness",
+        "miserable", "overwhelmed", "panic", "self harm", "stress", "stressed", "suicidal",
+        "suicide", "therapist", "therapy", "trauma", "unhappy", "worried", "worthless",
     ],
-    "goodbye": ["bye", "goodbye", "see you", "have to go", "farewell"],
-    "greeting": ["hi", "hello", "hey", "مرحبا"],
-    "gratitude": ["thanks", "thank you", "grateful"],
+    "goodbye": ["adieu", "bye", "cheerio", "farewell", "good night", "goodbye", "so long", "take care"],
+    "greeting": ["good afternoon", "good evening", "good morning", "greetings", "hello", "hey", "hi"],
+    "gratitude": ["appreciate", "appreciated", "cheers", "obliged", "thank you", "thanks", "thx"],
 }
 INTENT_PRIORITY = ["asking_mental_health_question", "goodbye", "greeting", "gratitude"]
 

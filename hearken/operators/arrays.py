@@ -13,6 +13,9 @@ def to_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     n = len(column)
     if n == 0:
         return np.zeros((0, 0))
+    lengths = np.diff(column.offsets.to_numpy()) if hasattr(column, "offsets") else None
+    if lengths is not None and (lengths != lengths[0]).any():
+        raise ValueError("vectors of unequal length")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(n, -1)
 

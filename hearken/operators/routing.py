@@ -83,8 +83,13 @@ def with_defaults(df: DataFrame) -> DataFrame:
 
 
 def join_replies(df: DataFrame, replies: DataFrame, key: str = "request_id") -> DataFrame:
-    """Add ``reply``, null where none came. Several replies to one row count once."""
-    one = replies.groupBy(key).agg(F.min("reply").alias("reply"))
+    """Add ``reply``, null where none came.
+
+    Several replies to one row count once: the least of those that say something, so an empty
+    retry never hides a reply.
+    """
+    said = F.min(F.when(F.trim("reply") != "", F.col("reply")))
+    one = replies.groupBy(key).agg(F.coalesce(said, F.min("reply")).alias("reply"))
     return df.join(one, key, "left")
 
 

@@ -2,10 +2,9 @@
 
 Keys with more than ``rows_per_slice`` rows are cut into slices: their rows get
 a slice number from a hash of a row id, and the one-row-per-key side is repeated
-once per slice. All other keys keep a single slice. The list of heavy keys is
-the only thing broadcast: two numbers per key, at most ``MAX_HEAVY`` keys. A key
-that misses the list ranks below ``MAX_HEAVY`` others, so it owns less than
-1/MAX_HEAVY of the rows and needs no slices.
+once per slice. All other keys keep a single slice. The list of heavy keys (two
+numbers per key) is stored and counted: up to ``MAX_BROADCAST`` keys it is broadcast, a
+longer one is joined like any table, and an empty one is left out.
 """
 
 from __future__ import annotations
@@ -13,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearken.session import settle
+
 ROWS_PER_SLICE = 200_000
-MAX_HEAVY = 20_000
+MAX_BROADCAST = 1_000_000
 
 _HASH, _SLICES, _SLICE = "_key_hash", "_slices", "_slice"
 
@@ -39,8 +40,6 @@ def heavy_from_counts(
 def _heaviest(counts: DataFrame, rows_per_slice: int) -> DataFrame:
     return (
         counts.where(F.col("_n") > rows_per_slice)
-        .orderBy(F.desc("_n"), _HASH)
-        .limit(MAX_HEAVY)
         .select(_HASH, F.ceil(F.col("_n") / rows_per_slice).cast("int").alias(_SLICES))
     )
 
@@ -61,7 +60,12 @@ def sliced_join(
     """
     if heavy is None:
         heavy = heavy_keys(rows, keys, rows_per_slice)
-    heavy = F.broadcast(heavy)
+    heavy = settle(heavy)
+    n_heavy = heavy.count()
+    if n_heavy == 0:
+        return rows.join(per_key, keys, how)
+    if n_heavy <= MAX_BROADCAST:
+        heavy = F.broadcast(heavy)
     slices = F.coalesce(F.col(_SLICES), F.lit(1))
     left = (
         rows.withColumn(_HASH, F.xxhash64(*keys))

@@ -27,7 +27,8 @@ from hearken.session import settle
 
 SEED = 42
 GROUP_ROWS = 20_000
-MAX_ROUNDS = 20
+# Rounds end when no centre moves; this is only a stop for groups that never settle.
+MAX_ROUNDS = 300
 SETTLED = 1e-8
 DIGITS = 6
 
@@ -88,13 +89,13 @@ def pick_representatives(
     seed: int = SEED,
     group_rows: int = GROUP_ROWS,
     max_rounds: int = MAX_ROUNDS,
-    any_large: bool = True,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """(group_id, cluster, pair_id, score) from (group_id, pair_id, n, embedding).
 
-    ``n`` is the group size. A group of at most ``keep`` rows returns all of them.
-    Pass ``any_large=False`` when the group table shows no group over
-    ``group_rows``, which spares the rounds.
+    ``n`` is the group size. A group of at most ``keep`` rows returns all of them. Groups
+    over ``group_rows`` are looked for first, and the rounds run only if there are any; ``sizes``
+    may name a table of the same ``n`` that is cheaper to read than ``members``.
     """
     rows = with_race(
         members.where(F.col("embedding").isNotNull()).select(
@@ -114,8 +115,9 @@ def pick_representatives(
         rows.where((F.col("n") > keep) & (F.col("n") <= group_rows)), keep, max_rounds
     )
     picks = whole.unionByName(small)
-    if any_large:
-        large = rows.where((F.col("n") > keep) & (F.col("n") > group_rows))
+    over = (F.col("n") > keep) & (F.col("n") > group_rows)
+    if not (members if sizes is None else sizes).where(over).select("n").isEmpty():
+        large = rows.where(over)
         picks = picks.unionByName(_large_groups(large, keep, group_rows, max_rounds))
     if dedupe:
         picks = picks.groupBy("group_id", "pair_id").agg(

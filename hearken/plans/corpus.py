@@ -21,7 +21,7 @@ from hearken.operators.groups import (
 from hearken.operators.retrieval import Cells, assign_cells, fit_centres, measure_cells
 from hearken.operators.skew import ROWS_PER_SLICE, heavy_from_counts, sliced_join
 from hearken.operators.thinning import GROUP_ROWS, SEED, pick_representatives
-from hearken.session import scratch_path
+from hearken.session import path_exists, scratch_path
 from hearken.sources.readers import read_cells, read_vectors
 from hearken.sources.writers import write_cells, write_vectors
 
@@ -82,9 +82,8 @@ def build_corpus(
     ).parquet(path)
     kept = routed.where(F.col("route") != CLUSTERED).select("pair_id", "context", "response")
     crowded = routed.where(F.col("route") == CLUSTERED)
-    any_large = not crowded.where(F.col("n") > group_rows).isEmpty()
     embedded = (embedder or word_embedder(crowded))(crowded)
-    picks = pick_representatives(embedded, keep, dedupe, seed, group_rows, any_large=any_large)
+    picks = pick_representatives(embedded, keep, dedupe, seed, group_rows, sizes=crowded)
     # pair_id is unique among the crowded rows, so this join has no hot key.
     thinned = picks.join(crowded, "pair_id").select("pair_id", "context", "response")
     # The first row of a group stands for it, so the report needs no second grouping.
@@ -101,11 +100,13 @@ def index_documents(
     embedder: Embed | None = None,
     text: str = "context",
 ) -> None:
-    """Embed (doc_id, context, response) rows and write the vectors table.
+    """Embed (doc_id, context, response) rows and write the vectors table, unless it is there.
 
     With ``n_cells`` the rows are divided into cells and the cell table is written
     beside them, so ``open_cells`` can search the stored rows.
     """
+    if not force_recreate and path_exists(documents.sparkSession, path):
+        return
     docs = drop_blank(documents, text)
     if embedder is None:
         model = fit_embedder(docs, text)

@@ -107,7 +107,7 @@ def _label_members(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def thin_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Five answers per label, each label clustered in one task."""
-    return thinning.pick_representatives(_label_members(spark, sf), any_large=False)
+    return thinning.pick_representatives(_label_members(spark, sf))
 
 
 @query()

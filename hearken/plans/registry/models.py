@@ -15,9 +15,6 @@ from hearken.plans.registry.base import query, table
 from hearken.plans.training import train_emotion_model, train_language_model
 from hearken.session import scratch_path, spread
 
-# Small settings, so that a check run trains in seconds.
-LANGUAGE = {"n_features": 2**14, "max_iter": 12}
-EMOTION = {"n_features": 2**12, "max_iter": 8}
 QUALITY = {0: "low", 1: "high"}
 
 
@@ -36,12 +33,12 @@ def _of_split(df: DataFrame, name: str) -> DataFrame:
 
 
 def language_model(spark: SparkSession, sf: str) -> models.TextModel:
-    return models.train_language(_of_split(_documents(spark, sf), "train"), **LANGUAGE)
+    return models.train_language(_of_split(_documents(spark, sf), "train"))
 
 
 def emotion_model(spark: SparkSession, sf: str) -> models.TextModel:
     train = _of_split(_labelled(spark, sf), "train")
-    return models.train_emotion(train, label="quality", names=QUALITY, **EMOTION)
+    return models.train_emotion(train, label="quality", names=QUALITY)
 
 
 @query()
@@ -60,7 +57,7 @@ def language_predictions(spark: SparkSession, sf: str) -> DataFrame:
 def language_training(spark: SparkSession, sf: str) -> DataFrame:
     """Train on two languages, save, and report on the test split."""
     out = scratch_path(spark, "language")
-    _, report = train_language_model(_documents(spark, sf), out, ["en", "fr"], **LANGUAGE)
+    _, report = train_language_model(_documents(spark, sf), out, ["en", "fr"])
     return report
 
 
@@ -81,7 +78,7 @@ def emotion_predictions(spark: SparkSession, sf: str) -> DataFrame:
 def best_model(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates by validation weighted F1; the best one is saved and tested."""
     out = scratch_path(spark, "emotion")
-    candidates = [{**EMOTION, "c": c} for c in (1.0, 0.1)]
+    candidates = [{"c": c} for c in (1.0, 0.1)]
     _, tried, tested = train_emotion_model(
         _labelled(spark, sf), out, QUALITY, candidates, "quality"
     )

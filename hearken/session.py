@@ -60,3 +60,10 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in whatever store it names."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

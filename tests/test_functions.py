@@ -88,24 +88,22 @@ def test_guard_label(spark):
 
 # Expected labels are ours, derived from the written rules and the priority order.
 INTENT_CASES = [
-    ("Hi there", "greeting"),
-    ("I feel really depressed lately", labels.ASKING),
-    ("Thanks!!", "gratitude"),
-    ("Can you help me code in Python?", "out_of_scope"),
-    ("Goodbye", "goodbye"),
-    ("Hi , Bye", "goodbye"),
-    ("I am so grateful for your help, but I have to go now. Goodbye!", "goodbye"),
-    ("Hi I feel anxious", labels.ASKING),
-    ("Thanks, I’ve been depressed for weeks", labels.ASKING),
-    ("Hello, can you help me with my stress?", labels.ASKING),
-    ("I have to go but I feel anxious", labels.ASKING),
-    ("Thanks, I feel like I want to die", labels.ASKING),
-    ("How do I train a machine learning model?", "out_of_scope"),
-    ("What is depression in biology", "out_of_scope"),
-    ("Hi, thanks, bye", "goodbye"),
-    ("Yeah everything is just great…", "out_of_scope"),
-    ("مرحبا أنا مكتئب", labels.ASKING),
-    ("They said this is high", "out_of_scope"),
+    ("Good evening, team", "greeting"),
+    ("hey HEY hey", "greeting"),
+    ("Since the move I am lonely at night", labels.ASKING),
+    ("Much appreciated.", "gratitude"),
+    ("Which bus goes to the harbour?", "out_of_scope"),
+    ("Take care, all of you", "goodbye"),
+    ("Hello. And farewell", "goodbye"),
+    ("Thanks for the tea, good night", "goodbye"),
+    ("Hi, my panic comes back each Monday", labels.ASKING),
+    ("Bye, still worried though", labels.ASKING),
+    ("Stressed syllables rhyme", labels.ASKING),
+    ("The thesis measures grief in elephants", labels.ASKING),
+    ("A hive of bees", "out_of_scope"),
+    ("Chipped cups, three of them", "out_of_scope"),
+    ("I guess it is all right", "out_of_scope"),
+    ("", "out_of_scope"),
 ]
 
 

@@ -97,7 +97,7 @@ def test_thinning_same_by_group_and_by_slices(spark):
     copies = np.tile(rng.normal(size=(1, 6)), (30, 1))
     small = rng.normal(size=(3, 6))
     table = members(spark, {1: blobs, 2: copies, 3: small})
-    whole = sorted(map(tuple, thinning.pick_representatives(table, 4, any_large=False)
+    whole = sorted(map(tuple, thinning.pick_representatives(table, 4)
                        .fillna(-1).collect()))
     sliced = sorted(map(tuple, thinning.pick_representatives(table, 4, group_rows=10)
                         .fillna(-1).collect()))
@@ -106,7 +106,7 @@ def test_thinning_same_by_group_and_by_slices(spark):
     # One pick per blob; copies give the same row k times; a small group stays whole.
     assert sorted(p // 15 for p in picks[1]) == [0, 1, 2, 3]
     assert picks[2] == [60] * 4 and sorted(picks[3]) == [90, 91, 92]
-    once = thinning.pick_representatives(table, 4, dedupe=True, any_large=False)
+    once = thinning.pick_representatives(table, 4, dedupe=True)
     assert once.where("group_id = 2").count() == 1
 
 
