@@ -6,12 +6,13 @@ fixed random order of bins (optimal densification). Bands of ``ROWS`` bins give
 keys. Documents with equal sets are one class, so copies cost one row each from then on.
 
 Inside a bucket a star of candidate pairs is drawn, from its least document to the
-others, never all pairs. A star may miss links between documents that are not linked to
-its centre, so rounds follow: while a bucket still holds more than one component, some of
-its documents outside the largest one become centres of the next, and are then done with.
-A round has at most four times the centres of the one before it; only documents of
-different components are paired and no pair is tried twice. So nothing that shares a bucket and
-could join two components stays unseen, while a group of copies costs one star.
+others, never all pairs. A star may miss links between documents that are not both linked
+to its centre. So buckets that still hold more than one component get one exact round over
+all their documents: these sort their shingles from rare to frequent and meet on the few
+rarest of which linked documents must share one. Documents whose own edits alone put them
+out of reach drop out first; bounds by position and size and the components known so
+far leave few of the other pairs to test. A group of copies thus costs one star, while no link
+that could join two components stays unseen.
 
 Of two documents with similarity s, a band of r rows agrees with chance s**r. With 6 rows and
 32 bands a link at 0.85 misses all buckets with a chance of about 3e-7, with 5 rows and 38
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearken.llm import common
-from hearken.llm.common import in_arrow, query, stored, table, text_key
+from hearken.llm.common import in_arrow, query, stored, table, text_key, whole_rows
 from hearken.llm.components import connected_components
 from hearken.llm.hashing import (
     SPACES,
@@ -171,55 +172,100 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _stars(members: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of one round, and the members of open buckets without its centres."""
-    per_part = members.groupBy("key", "component").agg(
-        F.count("*").alias("size"), F.min("rep").alias("least")
+def star_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: the least document of each bucket ``(key, rep, n)`` with its others.
+
+    Pairs whose sizes alone rule a link out are left out.
+    """
+    centres = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"))
+    fits = F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent
+    return (
+        members.join(centres, "key")
+        .where((F.col("rep") != F.col("c.rep")) & fits)
+        .select(F.col("c.rep").alias("a"), F.col("rep").alias("b"))
+        .distinct()
     )
-    # the largest part of a bucket; of equal ones that with the greatest least member
-    buckets = (
-        per_part.groupBy("key")
-        .agg(
-            F.count("*").alias("parts"),
-            F.max(F.struct("size", "least")).alias("largest"),
-            F.min(F.struct("size", "least")).alias("smallest"),
-        )
-        .where("parts > 1")
+
+
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """``key, rep, n, rest``: the shingles of which a link at ``percent`` must share one.
+
+    Shingles of a set stand in order of how many sets hold them, then of hash. ``rest``
+    counts those from the key on that other sets hold too, so it bounds what two sets
+    whose first common shingle is the key can share.
+    """
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [np.frombuffer(v, np.int64) for v in batch.column("values").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("rep"),
+                    pa.array([len(v) for v in values], pa.int64()),
+                    pa.array(values, pa.list_(pa.int64())),
+                ],
+                names=["rep", "n", "keys"],
+            )
+
+    kind = sets.schema["rep"].dataType.simpleString()
+    rows = in_arrow(
+        sets.select("rep", "values"), unpack, f"rep {kind}, n long, keys array<long>"
+    ).select("rep", "n", F.explode("keys").alias("key"))
+    held = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    shared = rows.join(held, "key").groupBy("rep", "n").agg(
+        F.sort_array(F.collect_list(F.struct("df", "key"))).alias("s")
     )
-    marked = members.join(buckets, "key")
-    centre = F.col("rep") == F.col("smallest.least")
-    if turn > 1:
-        chance = F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("parts")) < 4 ** (turn - 1)
-        outside = (F.col("size_of_part") < F.col("largest.size")) | (
-            F.col("least_of_part") != F.col("largest.least")
-        )
-        marked = marked.join(
-            per_part.select(
-                "key",
-                "component",
-                F.col("size").alias("size_of_part"),
-                F.col("least").alias("least_of_part"),
-            ),
-            ["key", "component"],
+    least = F.ceil(F.col("n") * percent / 100 - 1e-9)
+    prefix = F.slice("s", 1, F.size("s") - least.cast("int") + 1)
+    return (
+        shared.where(F.size("s") >= least)
+        .select("rep", "n", F.size("s").alias("m"), F.posexplode(prefix).alias("i", "s"))
+        .select(F.col("s.key").alias("key"), "rep", "n", (F.col("m") - F.col("i")).alias("rest"))
+    )
+
+
+def crossing_pairs(rare: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs of different components that share a rare shingle and may be linked.
+
+    ``rare`` holds ``key, rep, n, rest, component``. Of each bucket, documents outside its
+    largest component meet those of other components.
+    """
+
+    def enough(rest, n, other):
+        return rest * (100 + percent) >= (n + other) * percent
+
+    def split(rows: DataFrame) -> DataFrame:
+        buckets = rows.groupBy("key").agg(
+            F.min("n").alias("n_least"),
+            F.min("component").alias("x"),
+            F.max("component").alias("y"),
         )
-        centre = centre | (outside & chance)
-    marked = stored(
-        marked.select("key", "rep", "n", "component", centre.alias("centre")), "buckets"
+        return rows.join(buckets.where("x <> y").select("key", "n_least"), "key")
+
+    smallest = F.greatest(F.col("n_least"), F.col("n") * percent / 100)
+    open_ = split(rare).where(enough(F.col("rest"), F.col("n"), smallest)).drop("n_least")
+    open_ = stored(split(open_).drop("n_least"), "rare")
+    largest = (
+        open_.groupBy("key", "component")
+        .agg(F.count("*").alias("size"))
+        .groupBy("key")
+        .agg(F.max(F.struct("size", "component")).alias("largest"))
     )
-    centres = marked.where("centre").select(
-        "key",
-        F.col("rep").alias("c"),
-        F.col("n").alias("c_n"),
-        F.col("component").alias("c_component"),
+    centres = open_.join(largest, "key").where("component <> largest.component")
+    centres = centres.select(
+        "key", *[F.col(c).alias(f"c_{c}") for c in ("rep", "n", "rest", "component")]
     )
-    pairs = (
-        marked.join(centres, "key")
-        .where("component <> c_component")
-        .where(F.least("n", "c_n") * 100 >= F.greatest("n", "c_n") * percent)
-        .select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b"))
+    may_link = (
+        (F.col("component") != F.col("c_component"))
+        & (F.least("n", "c_n") * 100 >= F.greatest("n", "c_n") * percent)
+        & enough(F.least("rest", "c_rest"), F.col("n"), F.col("c_n"))
+    )
+    return (
+        open_.join(centres, "key")
+        .where(may_link)
+        .select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b"))
         .distinct()
     )
-    return pairs, marked.where("NOT centre").drop("centre")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = WORDS) -> DataFrame:
@@ -252,42 +298,34 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = WORDS) -> Da
     members = stored(keys.join(shared, "key"), "members")
     wanted = members.select("rep").distinct().join(named.select("rep", "digest"), "rep")
     sets = stored(_sets(docs, wanted, size), "sets")
-    members = members.withColumn("component", F.col("rep"))
-    links, failed, component, turn = None, None, None, 1
-    while True:
-        pairs, rest = _stars(members, turn, percent)
-        if failed is not None:
-            pairs = pairs.join(failed, ["a", "b"], "left_anti")
-        tested = stored(confirmed(stored(pairs, "pairs"), sets, percent), "tested")
-        found = tested.where("linked").select("a", "b")
-        lost = tested.where("NOT linked").select("a", "b").distinct()
-        failed = lost if failed is None else failed.unionByName(lost)
-        links = found if links is None else links.unionByName(found)
-        if found.isEmpty():
-            members = rest
-        else:
-            component = connected_components(links)
-            links = component.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            current = component.withColumnRenamed("node", "rep").withColumnRenamed(
-                "component", "_c"
-            )
-            members = rest.drop("component").join(current, "rep", "left")
-            members = members.withColumn("component", F.coalesce("_c", "rep")).drop("_c")
-        turn += 1
-        open_buckets = members.groupBy("key").agg(
-            F.min("component").alias("x"), F.max("component").alias("y")
-        )
-        members = stored(
-            members.join(open_buckets.where("x <> y").select("key"), "key", "left_semi"), "open"
+    stars = stored(star_pairs(members, percent), "pairs")
+    component = connected_components(
+        confirmed(stars, sets, percent).where("linked").select("a", "b")
+    )
+    # buckets that the stars did not join, and all documents of them
+    of = component.select(F.col("node").alias("rep"), F.col("component").alias("_c"))
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(of, "rep", "left").select(
+            *rows.columns, F.coalesce("_c", "rep").alias("component")
         )
-        if members.isEmpty():
-            break
+
+    split = labelled(members).groupBy("key").agg(
+        F.min("component").alias("x"), F.max("component").alias("y")
+    )
+    left = stored(
+        members.join(split.where("x <> y").select("key"), "key").select("rep").distinct(), "left"
+    )
+    if not left.isEmpty():
+        rare = labelled(rare_shingles(sets.join(left, "rep", "left_semi"), percent))
+        crossing = stored(crossing_pairs(rare, percent), "pairs")
+        more = confirmed(crossing, sets, percent).where("linked").select("a", "b")
+        links = component.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        component = connected_components(links.unionByName(more))
     roots = named.select(F.col("digest").alias("_digest"), "rep")
-    if component is not None:
-        roots = roots.join(component, F.col("rep") == F.col("node"), "left")
-        roots = roots.select("_digest", F.coalesce("component", "rep").alias("component_id"))
-    else:
-        roots = roots.withColumnRenamed("rep", "component_id")
+    roots = roots.join(component, F.col("rep") == F.col("node"), "left").select(
+        "_digest", F.coalesce("component", "rep").alias("component_id")
+    )
     return signed.join(roots, F.col("digest") == F.col("_digest"), "left").select(
         "doc_id",
         "key",
@@ -314,17 +352,17 @@ def keep_one_of_each(docs: DataFrame, percent: int = 80, size: int = WORDS) -> D
         .select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_kept"),
         "fates",
     )
-    keyed = docs.withColumn("_row", text_key(F.col("text")))
+    keyed = whole_rows(docs)
 
     def same(other: DataFrame):
         return keyed["doc_id"].eqNullSafe(other["_id"]) & (keyed["_row"] == other["_key"])
 
-    stay = keyed.join(fate, same(fate), "left_anti").drop("_row")
+    stay = keyed.join(fate, same(fate), "left_anti").select("_doc.*")
     repeated = fate.where("_kept")
     if repeated.isEmpty():
         return stay
     once = keyed.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "_row"])
-    return stay.unionByName(once.drop("_row"))
+    return stay.unionByName(once.select("_doc.*"))
 
 
 _WORDS = common.SQL_WORDS.format(common.SQL_LOWER.format("coalesce(text, '')"))
