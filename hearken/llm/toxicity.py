@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearken.llm.common import in_arrow, query, table
+from hearken.llm.common import in_arrow, query, stored, table
 from hearken.llm.language import HELD_OUT, fold_of
 
 #: Labelled rows the lexicon and the curve are fitted on, chosen by a hash of the id.
@@ -31,7 +31,8 @@ SHORTEST, LONGEST = 4, 8
 #: An entry stands in at least so many toxic documents, and so large a part of them.
 MIN_DOCUMENTS, MIN_PART = 5, 0.004
 MIN_PRECISION = 0.8
-MAX_ENTRIES = 20_000
+#: Patterns of toxic rows that are counted in the others, and exception phrases.
+MAX_PATTERNS, MAX_PHRASES = 300_000, 20_000
 THRESHOLD = 0.3
 #: Patterns a training task holds before it hands its sums on.
 HELD_PATTERNS = 200_000
@@ -152,11 +153,17 @@ class Lexicon:
         self.curve = w
 
 
-def _training_rows(labelled: DataFrame, rows: int) -> DataFrame:
-    known = labelled.where("toxic IS NOT NULL")
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """``doc_id, text, toxic`` of about ``rows`` labelled documents at most, as a stored table.
+
+    Labels are drawn by a hash of their id before texts are read, so their number has a
+    bound and the drawn ones can be broadcast.
+    """
+    known = labels.where("toxic IS NOT NULL").select("doc_id", "toxic")
     part = min(1.0, rows / max(1, known.count()))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    return known.where(draw < part).select("text", "toxic")
+    drawn = F.broadcast(known.where(draw < part))
+    return stored(docs.select("doc_id", "text").join(drawn, "doc_id"), "labelled")
 
 
 def _sums(sample: DataFrame, of) -> DataFrame:
@@ -181,7 +188,7 @@ def _sums(sample: DataFrame, of) -> DataFrame:
             for text, toxic in zip(
                 batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True
             ):
-                (bad if toxic else good).update(of(text))
+                (bad if toxic == 1 else good).update(of(text))
                 if len(bad) + len(good) > HELD_PATTERNS:
                     yield sums()
                     bad.clear()
@@ -195,12 +202,12 @@ def _sums(sample: DataFrame, of) -> DataFrame:
     )
 
 
-def fit_lexicon(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon:
-    """Lexicon of ``labelled (doc_id, text, toxic)``, fitted on at most about ``rows`` rows.
+def fit_lexicon(sample: DataFrame) -> Lexicon:
+    """Lexicon of the labelled rows ``sample (doc_id, text, toxic)``, see ``training_rows``.
 
-    Without toxic or without other rows the lexicon is empty and scores are constant.
+    What toxic rows hold often is found first, then counted in the others. Without toxic or
+    without other rows the lexicon is empty and scores are constant.
     """
-    sample = _training_rows(labelled, rows)
     n = sample.agg(
         F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1)), F.lit(0)).alias("bad"), F.count("*").alias("all")
     ).first()
@@ -208,15 +215,27 @@ def fit_lexicon(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon:
     if not bad or not good:
         return Lexicon({}, set(), (-3.0 if good else 0.0, 0.0, 0.0))
     least = max(MIN_DOCUMENTS, math.ceil(MIN_PART * bad))
-    found = (
-        _sums(sample, lambda text: _patterns(fold(text)))
-        .where((F.col("bad") >= least) & (F.col("bad") >= MIN_PRECISION * (F.col("bad") + F.col("good"))))
+    often = (
+        _sums(sample.where("toxic = 1"), lambda text: _patterns(fold(text)))
+        .where(F.col("bad") >= least)
+        .select("pattern", "bad")
         .orderBy(F.desc("bad"), "pattern")
-        .limit(MAX_ENTRIES)
+        .limit(MAX_PATTERNS)
+        .collect()
+    )
+    bad_of = {r["pattern"]: r["bad"] for r in often}
+    candidates = sample.sparkSession.sparkContext.broadcast(frozenset(bad_of))
+    good_of = dict(
+        _sums(
+            sample.where("toxic <> 1"), lambda text: _patterns(fold(text)) & candidates.value
+        )
+        .select("pattern", "good")
         .collect()
     )
-    entries = _pruned({r["pattern"]: (r["bad"], r["good"]) for r in found}, bad, good)
-    doubtful = [e for e in entries if dict((r["pattern"], r["good"]) for r in found)[e]]
+    counts = {p: (n, good_of.get(p, 0)) for p, n in bad_of.items()}
+    counts = {p: (n, g) for p, (n, g) in counts.items() if n >= MIN_PRECISION * (n + g)}
+    entries = _pruned(counts, bad, good)
+    doubtful = [e for e in entries if counts[e][1]]
     exceptions = _exceptions(sample, doubtful) if doubtful else set()
     lexicon = Lexicon(entries, exceptions)
     shared = sample.sparkSession.sparkContext.broadcast(lexicon)
@@ -262,7 +281,7 @@ def _exceptions(sample: DataFrame, doubtful: list[str]) -> set[str]:
             f"{words[i]} {words[i + 1]}" for i in range(len(words) - 1) if hit[i] or hit[i + 1]
         }
 
-    rows = _sums(sample, phrases).where("bad = 0 AND good >= 3").limit(MAX_ENTRIES).collect()
+    rows = _sums(sample, phrases).where("bad = 0 AND good >= 3").limit(MAX_PHRASES).collect()
     return {r["pattern"] for r in rows}
 
 
@@ -293,9 +312,8 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text; every fourth id's label is never seen."""
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    labelled = docs.select("doc_id", "text").where(fold_of("doc_id") != HELD_OUT).join(labels, "doc_id")
-    scored = score_toxicity(docs, fit_lexicon(labelled))
+    seen = table(spark, sf_dir, "labels").where(fold_of("doc_id") != HELD_OUT)
+    scored = score_toxicity(docs, fit_lexicon(training_rows(docs, seen)))
     return scored.select(
         "doc_id",
         F.coalesce(fold_of("doc_id") == HELD_OUT, F.lit(False)).alias("held_out"),
