@@ -195,7 +195,12 @@ def mix(
     """
     # equal rows are told apart by a number among themselves, so that reruns agree
     sized = stored(
-        docs.select("doc_id", text_key(F.col("text")).alias("key"), "source", word_count(F.col("text")).alias("size")),
+        docs.select(
+            "doc_id",
+            text_key(F.col("text")).alias("key"),
+            "source",
+            word_count(F.col("text")).alias("size"),
+        ),
         "sizes",
     )
     equal = Window.partitionBy("doc_id", "key", "source").orderBy("size")
@@ -219,8 +224,10 @@ def mix(
     )
     low = F.greatest(F.col("start"), F.col("block") * block)
     high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
+    # slots grow with the corpus, but exploded runs look small to the planner: never broadcast
     parts = spans.join(
-        taken, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))
+        taken.hint("merge"),
+        F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")),
     ).select("row", "pass", "shard", (low - F.col("start")).alias("first"), (high - low).alias("words"))
     return whole, parts
 
