@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from hearken.session import scratch_path
 
@@ -74,14 +76,25 @@ SQL_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 SQL_LOWER = f"translate({{0}}, '{_UPPER}', '{_UPPER.lower()}')"
 SQL_WORDS = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
 
-#: Bytes of one batch between Spark and Python; long texts make smaller batches.
-ARROW_BATCH = 32 << 20
+#: Bytes of one batch between Spark and Python; long texts make smaller batches. Each side
+#: of each task holds a few of them, outside the heap.
+ARROW_BATCH = 4 << 20
 
 
-def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with batches bounded by bytes, not only by rows."""
+def in_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes, not only by rows.
+
+    Columns travel under their positions, so names may hold dots or repeat in other case;
+    ``run`` sees the names of ``df``. The bound is the session's setting, which is read when
+    the job runs: it is lowered to ``ARROW_BATCH`` if it is above, and stays so.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     conf = df.sparkSession.conf
     if int(conf.get(key, str(ARROW_BATCH))) > ARROW_BATCH:
         conf.set(key, str(ARROW_BATCH))
-    return df.mapInArrow(run, schema)
+    names = df.columns
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(batch.rename_columns(names) for batch in batches)
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(named, schema)
