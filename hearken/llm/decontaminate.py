@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearken.llm import common
-from hearken.llm.common import in_arrow, query, stored, table, text_key, whole_rows
+from hearken.llm.common import in_arrow, query, stored, table, text_key
 from hearken.llm.hashing import PUNCTUATION, hashed_texts, window_hashes
 
 WINDOW = 10
@@ -133,6 +134,18 @@ def _covered(n: int, spans: list[tuple[int, int]]) -> int:
 _MATCH = "array<struct<item_id: {0}, start: int, size: int>>"
 
 
+def window_blocks(
+    benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK_WINDOWS
+) -> list[DataFrame]:
+    """The items' windows with their prefixes, in blocks of about ``block`` windows."""
+    prefixes = stored(with_prefix(item_windows(benchmark, window, SHINGLE)), "windows")
+    blocks = max(1, -(-prefixes.count() // block))
+    if blocks == 1:
+        return [prefixes]
+    number = F.pmod(F.xxhash64("words"), F.lit(blocks))
+    return [prefixes.where(number == b) for b in range(blocks)]
+
+
 def find_windows(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK_WINDOWS
 ) -> DataFrame:
@@ -148,16 +161,12 @@ def find_windows(
     kind = benchmark.schema["item_id"].dataType.simpleString()
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_kind}, key long, n_words int, n_hit int, matches {_MATCH.format(kind)}"
-    prefixes = stored(with_prefix(item_windows(benchmark, window, SHINGLE)), "windows")
-    blocks = max(1, -(-prefixes.count() // block))
     rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
+    out_type = pa.list_(
+        pa.struct([("item_id", _arrow(kind)), ("start", pa.int32()), ("size", pa.int32())])
+    )
 
-    def one_pass(b: int) -> DataFrame:
-        own = prefixes
-        if blocks > 1:
-            own = prefixes.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b)
-        index = spark.sparkContext.broadcast(WindowIndex(own.collect()))
-
+    def one_pass(index: Broadcast) -> DataFrame:
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = batch.column("text").cast(pa.binary()).to_pylist()
@@ -180,20 +189,26 @@ def find_windows(
 
         return in_arrow(rows, look, schema)
 
-    out_type = pa.list_(
-        pa.struct([("item_id", _arrow(kind)), ("start", pa.int32()), ("size", pa.int32())])
-    )
-    if blocks == 1:
-        return one_pass(0)
-    first, *others = [one_pass(b) for b in range(blocks)]
-    more = others[0]
-    for other in others[1:]:
+    def broadcast(own: DataFrame) -> Broadcast:
+        return spark.sparkContext.broadcast(WindowIndex(own.collect()))
+
+    first, *others = window_blocks(benchmark, window, block)
+    if not others:
+        return one_pass(broadcast(first))
+    # one block's index at a time is on the executors; what a pass found is written
+    passes = []
+    for own in (first, *others):
+        index = broadcast(own)
+        found = one_pass(index)
+        passes.append(stored(found if own is first else found.where("n_hit > 0"), "matches"))
+        index.destroy()
+    more = passes[1]
+    for other in passes[2:]:
         more = more.unionByName(other)
-    more = (
-        more.where(F.size("matches") > 0)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-        .agg(F.array_distinct(F.flatten(F.collect_list("matches"))).alias("_more"))
+    more = more.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(
+        F.array_distinct(F.flatten(F.collect_list("matches"))).alias("_more")
     )
+    first = passes[0]
     joined = first.join(
         more, first["doc_id"].eqNullSafe(more["_id"]) & (first["key"] == more["_key"]), "left"
     )
@@ -205,18 +220,34 @@ def find_windows(
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs``, all columns, without the documents that hold any window of an item."""
-    hit = (
-        find_windows(docs, benchmark, window)
-        .where("n_hit > 0")
-        .select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-        .distinct()
-    )
-    keyed = whole_rows(docs)
-    return keyed.join(
-        hit, keyed["doc_id"].eqNullSafe(hit["_id"]) & (keyed["_row"] == hit["_key"]), "left_anti"
-    ).select("_doc.*")
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK_WINDOWS
+) -> DataFrame:
+    """``docs``, all columns, without the documents that hold any window of an item.
+
+    Each block of windows is a filter over the rows that the blocks before it left; rows
+    are never shuffled.
+    """
+
+    def without(rows: DataFrame, own: DataFrame) -> DataFrame:
+        index = docs.sparkSession.sparkContext.broadcast(WindowIndex(own.collect()))
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column("text").cast(pa.binary()).to_pylist()
+                stay = [
+                    not index.value.matches(words)
+                    for _, _, _, _, words, _ in hashed_texts(texts, PUNCTUATION, lower=True)
+                ]
+                yield batch.filter(pa.array(stay, pa.bool_()))
+
+        return in_arrow(rows, clean, docs.schema)
+
+    first, *others = window_blocks(benchmark, window, block)
+    kept = without(docs, first)
+    for own in others:
+        kept = without(stored(kept, "clean"), own)
+    return kept
 
 
 def _words_hit(matches):
