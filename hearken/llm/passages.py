@@ -11,7 +11,8 @@ counted by hash, after a filter that leaves out almost all windows that occur on
 2. Anchors met twice or more are marked in a bitmap of bounded size, which is broadcast.
    A full bitmap would only let more windows pass; it never loses one.
 3. Windows whose anchor is marked are counted by their own hash. Those met twice or more
-   are joined back to their places, and words they cover go.
+   get a bitmap as well, which picks the places that are joined with them; words that
+   their windows cover go.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,8 +74,8 @@ def repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
 
 def anchor_bitmap(anchors: DataFrame) -> np.ndarray:
     """Bits set at the low bits of each anchor; at most ``MOST_BITS``, gathered as words of 64."""
-    bits = LEAST_BITS
-    while bits < MOST_BITS and bits < 16 * anchors.count():
+    bits, wanted = LEAST_BITS, 16 * anchors.count()
+    while bits < MOST_BITS and bits < wanted:
         bits *= 2
     at = F.col("h").bitwiseAND(F.lit(bits - 1))
     marked = (
@@ -97,11 +99,38 @@ def marked_in(bitmap: np.ndarray, anchors: np.ndarray) -> np.ndarray:
     return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
+def repeated_windows(docs: DataFrame, window: int, bitmap: Broadcast) -> DataFrame:
+    """``h``: hashes of windows that start at two places or more, among those of marked anchors."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            found = [np.zeros(0, np.uint64)]
+            for _, words in _words(texts):
+                marked = marked_in(bitmap.value, window_anchors(words, window)[0])
+                if marked.any():
+                    found.append(window_hashes(words, window)[marked])
+            h, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"]
+            )
+
+    counted = in_arrow(docs.select("text"), count, "h long, n long")
+    return counted.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+
+
 def repeated_places(docs: DataFrame, window: int) -> DataFrame:
     """``_id, _key, marks``: for each row of ``docs`` with repeated windows where they start,
-    as numbers of 64-place groups with the places' bits."""
-    anchors = stored(repeated_anchors(docs, window), "anchors")
-    bitmap = docs.sparkSession.sparkContext.broadcast(anchor_bitmap(anchors))
+    as numbers of 64-place groups with the places' bits.
+
+    The repeated windows get a bitmap of their own, so that hardly any place travels whose
+    window occurs once; the join with the windows' hashes then decides.
+    """
+    context = docs.sparkSession.sparkContext
+    anchors = context.broadcast(anchor_bitmap(stored(repeated_anchors(docs, window), "anchors")))
+    repeated = stored(repeated_windows(docs, window, anchors), "windows")
+    anchors.unpersist()
+    bitmap = context.broadcast(anchor_bitmap(repeated))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,10 +138,11 @@ def repeated_places(docs: DataFrame, window: int) -> DataFrame:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             at, windows, row = [], [], []
             for i, words in _words(texts):
-                start = np.flatnonzero(marked_in(bitmap.value, window_anchors(words, window)[0]))
+                own = window_hashes(words, window)
+                start = np.flatnonzero(marked_in(bitmap.value, own))
                 if len(start):
                     at.append(start)
-                    windows.append(window_hashes(words, window)[start])
+                    windows.append(own[start])
                     row.append(np.full(len(start), i))
             if not row:
                 continue
@@ -129,9 +159,6 @@ def repeated_places(docs: DataFrame, window: int) -> DataFrame:
 
     keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
     places = in_arrow(keyed, candidates, f"_id {kind}, _key long, at int, h long")
-    repeated = stored(
-        places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "windows"
-    )
     bit = F.call_function(
         "shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int")
     )
