@@ -27,6 +27,7 @@ MAX_REPEATS = 2
 BLOCK_WORDS = 64
 CHUNK_DOCUMENTS = 2000
 SHARD_BLOCKS = 100_000
+SLOT_RUN = 10_000
 SEED = 17
 _ROUNDS = 4
 
@@ -155,13 +156,15 @@ def slots(targets: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED) -> Dat
         F.least(F.round(F.col("target") / block).cast("long"), blocks * MAX_REPEATS).alias("slots"),
     )
     shards = F.greatest(F.lit(1), F.ceil(F.sum("slots").over(Window.partitionBy()) / SHARD_BLOCKS))
-    # a source's slots are made in runs of 100,000, so that a large one is made by many tasks
-    run = 100_000
+    # a source's slots are made in runs, so that a large one is made by many tasks; a given
+    # number of partitions is kept, where the planner would put few rows into one
+    run = SLOT_RUN
+    parts = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = (
         counted.withColumn("shards", shards)
         .where("slots > 0")
         .withColumn("run", F.explode(F.sequence(F.lit(0), F.ceil(F.col("slots") / run) - 1)))
-        .repartition("source", "run")
+        .repartition(parts, "source", "run")
         .withColumn(
             "slot",
             F.explode(
