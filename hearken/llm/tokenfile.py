@@ -14,12 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearken.llm.common import in_arrow, query, stored, table
-from hearken.llm.tokens import _groups, tokenizer_path, worker_encoder
+from hearken.llm.tokens import tokenizer_path, worker_encoder
 from hearken.session import scratch_path
 
 END_ID = 0
@@ -27,12 +28,26 @@ ORC_OPTIONS = {
     "compression": "zstd",
     "orc.create.index": "true",
     "orc.row.index.stride": "1000",
-    "orc.stripe.size": str(32 << 20),
+    "orc.stripe.size": str(8 << 20),
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }
 
 
+#: Bytes of text encoded together; a longer text alone.
+GROUP_BYTES = 1 << 20
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``GROUP_BYTES`` of text, of one row at least."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.binary())), 0)
+        group = np.cumsum(lengths.to_numpy(zero_copy_only=False)) // GROUP_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
+        for start, end in zip(edges[:-1], edges[1:], strict=True):
+            yield batch.slice(start, end - start)
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """``doc_id, shard, place, ids``: token ids with the end id, in ascending ``doc_id`` order.
 

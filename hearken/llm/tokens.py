@@ -2,8 +2,8 @@
 
 The byte-level vocabulary never merges over white space, so a text's tokens are those
 of its pieces between single spaces and line ends. Pieces repeat, so each worker keeps
-a table of the pieces it has met (bounded; emptied when full) and encodes only misses,
-many in one call of the library. A text with anything else between its words (runs of
+a table of the pieces it has met (bounded; begun anew when full) and encodes only misses,
+many in one call of the library, a word and the punctuation behind it apart. A text with anything else between its words (runs of
 white space, other white space, strings like those of special tokens) is encoded whole
 by the library, so results never depend on this shortcut.
 """
@@ -30,12 +30,23 @@ VOCABULARY = "byte_bpe_50k.json"
 FREQUENT_PIECES = 60_000
 FREQUENT_ROWS = 20_000
 SAMPLED_TASKS = 32
-#: Pieces a worker keeps besides.
-CACHE_PIECES = 700_000
+#: Pieces a worker keeps besides, in a table that fills and the one before it.
+CACHE_PIECES = 800_000
 #: Texts handled together.
 GROUP = 256
 
 _UNEVEN = re.compile(r"\s{2}|[^\S \n]|<\|")
+_PAIRS = ("  ", "\n\n", " \n", "\n ", "<|")
+#: A word of Latin letters with punctuation behind it; the vocabulary never joins the two.
+_PLAIN = re.compile("(\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~]{1,4})")
+
+
+def uneven(text: str) -> bool:
+    """Whether white space is anything but single spaces and single line ends, or a special
+    token may begin. All other white space is not printable, so most texts need no search."""
+    if any(pair in text for pair in _PAIRS):
+        return True
+    return not text.replace("\n", "").isprintable() and bool(_UNEVEN.search(text))
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -47,7 +58,7 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
 def text_pieces(text: str) -> list[str] | None:
     """Pieces of a line end followed by ``text``: a piece is what follows a space, or a
     line end with what follows it. None if white space is uneven."""
-    if _UNEVEN.search(text):
+    if uneven(text):
         return None
     return ("\n" + text).replace("\n", " \n").split(" ")[1:]
 
@@ -67,17 +78,21 @@ class PieceEncoder:
             self.opens[i] = token.startswith("Ġ")
         self.line_end = self._ids("\n")
         self.frequent = frequent or {}
+        self.tails: dict = {}
         self.known: dict = {}
+        self.before: dict = {}
         self._reset()
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        found = self.library.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found[0].ids, np.uint32)
 
     def _value(self, ids: np.ndarray):
         return len(ids) if self.counts else ids.tobytes()
 
     def _reset(self) -> None:
-        self.known = dict(self.frequent)
+        """Start a new table; the last one still serves until the next."""
+        self.before, self.known = self.known, dict(self.frequent)
         self.known["\n"] = self._value(self.line_end)
         self.known[""] = self._value(self._ids(" "))
 
@@ -86,18 +101,43 @@ class PieceEncoder:
         ids = self._ids(joiner + joiner.join(p.removeprefix("\n") for p in pieces))
         start = np.flatnonzero(self.opens[ids] if joiner == " " else ids == self.line_end[0])
         if len(start) != len(pieces) or start[0]:
-            found = [self._ids(joiner + p.removeprefix("\n")) for p in pieces]
+            found = [self._value(self._ids(joiner + p.removeprefix("\n"))) for p in pieces]
+        elif self.counts:
+            found = np.diff(start, append=len(ids)).tolist()
         else:
-            found = np.split(ids, start[1:])
-        for piece, own in zip(pieces, found, strict=True):
-            self.known[piece] = self._value(own)
+            data, edges = ids.tobytes(), (4 * start).tolist()
+            found = [data[a:b] for a, b in zip(edges, [*edges[1:], len(data)], strict=True)]
+        self.known.update(zip(pieces, found, strict=True))
+
+    def _tail(self, tail: str):
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[tail] = self._value(self._ids(tail))
+        return self.tails[tail]
 
     def learn(self, missing: set[str]) -> None:
-        spaced = [p for p in missing if p[:1] != "\n"]
-        lines = [p for p in missing if p[:1] == "\n"]
+        known, before = self.known, self.before
+        parts, wanted = [], set()
+        for piece in missing:
+            if piece in before:
+                known[piece] = before[piece]
+            elif plain := _PLAIN.fullmatch(piece):
+                word, tail = plain.groups()
+                parts.append((piece, word, tail))
+                if word in before:
+                    known[word] = before[word]
+                elif word not in known:
+                    wanted.add(word)
+            else:
+                wanted.add(piece)
+        spaced = [p for p in wanted if p[:1] != "\n"]
+        lines = [p for p in wanted if p[:1] == "\n"]
         for pieces, joiner in ((spaced, " "), (lines, "\n")):
             for i in range(0, len(pieces), 4096):
                 self._encode(pieces[i : i + 4096], joiner)
+        for piece, word, tail in parts:
+            known[piece] = known[word] + self._tail(tail)
 
     def _whole(self, text: str):
         return self._value(self._ids(text))
@@ -121,7 +161,7 @@ class PieceEncoder:
             except KeyError:
                 waiting[i] = pieces
         if waiting:
-            if len(self.known) > CACHE_PIECES + len(self.frequent):
+            if len(self.known) > CACHE_PIECES // 2 + len(self.frequent):
                 self._reset()
             self.learn(set().union(*waiting.values()).difference(self.known))
             for i, pieces in waiting.items():
