@@ -98,6 +98,73 @@ def history_lookup(
     return joined.where(F.col(turn) < F.col("request_turn"))
 
 
+def history_of_requests(
+    requests: DataFrame,
+    turns: DataFrame,
+    session: str = "conv_id",
+    turn: str = "turn",
+    request_id: str = "request_id",
+    block_turns: int = BLOCK_TURNS,
+    rows_per_slice: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """The history rows before each request, any number of requests a session.
+
+    ``requests`` is (request_id, session, request_turn). An as-of join: a request meets the
+    blocks of its session's turns up to its own block, one (session, block) key each, and
+    turns are compared in its own block only. Requests of a key are sliced, so neither a long
+    session nor one of many requests meets in one task. The result has a row for each
+    request and earlier message, as a model's message list needs.
+    """
+    rows = _blocked(turns.where(is_history()), turn, block_turns)
+    blocks = rows.select(session, _BLOCK).distinct()
+    own = F.floor(F.col("request_turn") / block_turns).cast("long")
+    asked = sliced_join(
+        requests.select(request_id, session, "request_turn"),
+        blocks.groupBy(session).agg(F.collect_list(_BLOCK).alias("_blocks")),
+        [session], [request_id], "inner", rows_per_slice,
+    )
+    earlier = asked.select(
+        request_id,
+        session,
+        "request_turn",
+        F.explode(F.filter("_blocks", lambda b: b <= own)).alias(_BLOCK),
+    )
+    # turns of a block are few; a key's requests may be many
+    limit = max(1, rows_per_slice // block_turns)
+    joined = sliced_join(earlier, rows, [session, _BLOCK], [request_id], "inner", limit)
+    return joined.where(F.col(turn) < F.col("request_turn")).drop(_BLOCK, "request_turn")
+
+
+def answered_turns(
+    answered: DataFrame,
+    session: str = "session_id",
+    turn: str = "turn",
+    question: str = "pivot_text",
+    answer: str = "pivot_answer",
+) -> DataFrame:
+    """(session, turn, role, text) of finished requests: the question keeps its turn, the
+    answer takes the next. Requests without an answer add nothing."""
+    both = F.array(
+        F.struct(F.col(turn).alias("turn"), F.lit("user").alias("role"), F.col(question).alias("text")),
+        F.struct(
+            (F.col(turn) + 1).alias("turn"), F.lit("assistant").alias("role"), F.col(answer).alias("text")
+        ),
+    )
+    done = answered.where(F.col(answer).isNotNull()).select(session, F.explode(both).alias("t"))
+    return done.select(session, F.col("t.turn").alias(turn), "t.role", "t.text")
+
+
+def with_answers(
+    turns: DataFrame, finished: DataFrame, session: str = "session_id", turn: str = "turn"
+) -> DataFrame:
+    """The log and the finished turns that it does not hold yet, told by their numbers."""
+    columns = [session, turn, "role", "text"]
+    known = turns.select(session, turn).distinct()
+    return turns.select(columns).unionByName(
+        finished.select(columns).join(known, [session, turn], "left_anti")
+    )
+
+
 def turn_pairs(
     turns: DataFrame,
     session: str = "conv_id",

@@ -12,8 +12,9 @@ from hearken.operators.profile import assign_split
 from hearken.operators.retrieval import top_k
 from hearken.plans.answering import Replies, answer_requests, enrich_requests
 from hearken.plans.registry.base import query, table
+from hearken.plans.registry.text import _BUCKETS, _SPLIT
 from hearken.plans.training import train_emotion_model, train_language_model
-from hearken.session import scratch_path, spread
+from hearken.session import scratch_path, spread, store
 
 QUALITY = {0: "low", 1: "high"}
 
@@ -61,6 +62,54 @@ def language_training(spark: SparkSession, sf: str) -> DataFrame:
     return report
 
 
+_SPLITS = f"SELECT *, {_SPLIT} AS split FROM ({_BUCKETS})"
+
+
+def _held(scored: DataFrame, labels: list[str]) -> DataFrame:
+    """What must hold for every prediction, from ``predicted`` and its probabilities."""
+    p = F.col("predicted")
+    values = F.map_values("predicted.probs")
+    return scored.select(
+        "doc_id",
+        F.array_join(F.array_sort(F.map_keys("predicted.probs")), ",").alias("labels"),
+        F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
+        (F.element_at(p["probs"], p["label"]) == F.array_max(values)).alias("label_is_likeliest"),
+        (p["confidence"] == F.array_max(values)).alias("confidence_is_its_probability"),
+        p["label"].isin(labels).alias("label_is_known"),
+    )
+
+
+_HELD = "1.0::DOUBLE AS total, true AS label_is_likeliest, true AS confidence_is_its_probability, true AS label_is_known"
+
+
+@query(
+    f"""SELECT doc_id, (SELECT string_agg(DISTINCT lang, ',' ORDER BY lang) FROM ({_SPLITS})
+            WHERE split = 'train') AS labels, {_HELD} FROM documents"""
+)
+def language_probabilities(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's probabilities are of the trained languages, add up and agree with the label."""
+    model = language_model(spark, sf)
+    return _held(models.score(model, _documents(spark, sf)), model.labels)
+
+
+@query(f"SELECT doc_id, 'high,low' AS labels, {_HELD} FROM documents")
+def emotion_probabilities(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for the class-weighted classifier, whose labels are given."""
+    model = emotion_model(spark, sf)
+    return _held(models.score(model, _documents(spark, sf)), model.labels)
+
+
+@query(
+    f"""WITH t AS ({_SPLITS}), test AS (SELECT lang, count(*) AS n FROM t
+        WHERE split = 'test' AND lang IN ('en', 'fr') GROUP BY lang)
+    SELECT lang AS label, n AS support FROM test
+    UNION ALL SELECT unnest(['macro', 'weighted']), (SELECT sum(n)::BIGINT FROM test)"""
+)
+def training_support(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the test split behind every line of the saved language model's report."""
+    return language_training(spark, sf).select("label", F.col("support").cast("long").alias("support"))
+
+
 @query()
 def emotion_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Label, confidence and all probabilities of every document."""
@@ -179,18 +228,28 @@ def enriched_requests(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def answer_all(spark: SparkSession, sf: str, requests: DataFrame, language, emotion, embedder):
-    """Answers of ``requests`` over a document collection, with pretended model replies."""
+def embedded_documents(spark: SparkSession, sf: str, embedder) -> DataFrame:
+    """The collection that answers are drawn from, embedded once and stored."""
     docs = spread(table(spark, sf, "documents").select("doc_id", "source", "text"))
-    vectors = embed(embedder, docs).select(
-        "doc_id", F.col("source").alias("context"), F.col("text").alias("response"), "embedding"
+    return store(
+        embed(embedder, docs).select(
+            "doc_id", F.col("source").alias("context"), F.col("text").alias("response"), "embedding"
+        ),
+        "collection",
     )
+
+
+def answer_all(
+    spark: SparkSession, sf: str, requests: DataFrame, language, emotion, embedder, vectors: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Messages and answers of ``requests`` over ``vectors``, with pretended model replies."""
     turns = table(spark, sf, "conversations")
-    # The open request of a session has its history; replayed ones go without.
-    open_ones = sessions.open_requests(turns).select("conv_id", "request_turn")
-    history = sessions.history_lookup(open_ones, turns).select(
-        F.concat_ws("/", "conv_id", "request_turn").alias("request_id"), "turn", "role", "text"
+    numbered = requests.select(
+        "request_id",
+        F.col("session_id").cast("long").alias("conv_id"),
+        F.col("turn").alias("request_turn"),
     )
+    history = sessions.history_of_requests(numbered, turns)
     ask = F.lit("asking_mental_health_question")
     replies = Replies(
         pivot=pivot_replies_of(requests),
@@ -208,12 +267,64 @@ def answer_all(spark: SparkSession, sf: str, requests: DataFrame, language, emot
     )
 
 
-@query()
+_TURN_OF = "c.conv_id = r.conv_id AND c.turn < r.turn AND c.role IN ('user', 'assistant')"
+
+
+@query(
+    f"""SELECT r.conv_id || '/' || r.turn AS request_id, r.conv_id::VARCHAR AS session_id,
+        CASE WHEN r.turn < 4 THEN 'answered' ELSE 'waiting' END AS status,
+        CASE WHEN r.turn % 4 = 0 THEN 'asking_mental_health_question' ELSE 'out_of_scope' END AS intent,
+        CASE WHEN r.turn % 4 = 0 THEN r.turn % 3 + 1 ELSE 0 END::INTEGER AS n_sources,
+        2 + (SELECT count(*) FROM conversations c WHERE {_TURN_OF}) AS n_messages,
+        (SELECT coalesce(sum(length(c.text)), 0) FROM conversations c WHERE {_TURN_OF})::BIGINT AS history_chars
+    FROM conversations r WHERE r.role = 'user'"""
+)
 def answered_requests(spark: SparkSession, sf: str) -> DataFrame:
-    """Each request with its answer; those the model has not answered yet wait."""
+    """Each request with its messages, sources and answer; those not answered yet wait."""
     embedder = fit_embedder(table(spark, sf, "documents"))
-    _, answers = answer_all(
+    prompts, answers = answer_all(
         spark, sf, requests_of(spark, sf), language_model(spark, sf), emotion_model(spark, sf),
-        embedder,
+        embedder, embedded_documents(spark, sf, embedder),
+    )
+    middle = F.abs("sort_key") < 2**62
+    messages = prompts.groupBy("request_id").agg(
+        F.count("*").alias("n_messages"),
+        F.coalesce(F.sum(F.when(middle, F.char_length("content"))), F.lit(0)).alias("history_chars"),
+    )
+    return answers.join(messages, "request_id", "left").select(
+        "request_id", "session_id", "status", "intent", F.size("sources").alias("n_sources"),
+        "n_messages", "history_chars",
+    )
+
+
+@query(
+    """SELECT r.conv_id || '/' || r.turn AS request_id, c.turn, c.role, c.text
+    FROM conversations r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn < r.turn
+    WHERE r.role = 'user' AND c.role IN ('user', 'assistant')"""
+)
+def request_history(spark: SparkSession, sf: str) -> DataFrame:
+    """All earlier messages of every request of every session."""
+    requests = requests_of(spark, sf).withColumnRenamed("turn", "request_turn")
+    history = sessions.history_of_requests(requests, table(spark, sf, "conversations"), block_turns=3)
+    return history.select("request_id", "turn", "role", "text")
+
+
+@query(
+    """WITH last AS (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY conv_id)
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL
+    SELECT c.conv_id, c.turn + 1, 'assistant', 're: ' || c.text
+    FROM conversations c JOIN last USING (conv_id, turn)
+    WHERE c.turn < 5 AND NOT EXISTS (SELECT 1 FROM conversations x WHERE x.conv_id = c.conv_id AND x.turn = c.turn + 1)"""
+)
+def log_after_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions' logs with the answers to their open requests written back, each once."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    asked = sessions.open_requests(turns).select(
+        "conv_id", F.col("request_turn").alias("turn"), "question",
+        F.when(F.col("request_turn") < 5, F.concat(F.lit("re: "), "question")).alias("answer"),
     )
-    return answers
+    finished = sessions.answered_turns(asked, "conv_id", "turn", "question", "answer")
+    once = sessions.with_answers(turns, finished, "conv_id")
+    # written back again, nothing is added
+    return sessions.with_answers(once, finished, "conv_id")

@@ -2,46 +2,72 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from hearken.operators.sessions import first_vote
+_STATE = "event_id long"
 
-BUCKETS = 64
 
+def first_votes(votes: DataFrame, forget_after_ms: int | None = None) -> DataFrame:
+    """The first vote of every message, as a stream of rows like ``votes``.
 
-def vote_stream(
-    votes: DataFrame, recorded: str, checkpoint: str, n_buckets: int = BUCKETS
-) -> StreamingQuery:
-    """Record the first vote of every message not recorded before.
+    A message is a key with one number of state: the event that was recorded. Within a
+    batch the earliest vote by time, then event, wins; votes of later batches find the state
+    and change nothing, and no recorded vote is read again. A key's votes pass in
+    pieces, so a popular message needs no memory.
 
-    Within a batch the earliest event wins, by a partial aggregate that no popular
-    message can overload. Against earlier batches a recorded vote is never
-    replaced. A batch writes its own folder, which a second run of it overwrites
-    and does not compare itself to.
+    Without ``forget_after_ms`` state is kept for good. With it, a message's state goes
+    when no vote came for so long, and a vote after that counts as a first one.
     """
+    columns = votes.columns
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        first = first_vote(batch).withColumn(
-            "bucket", F.pmod(F.xxhash64("message_id"), F.lit(n_buckets)).cast("int")
-        )
-        if batch_id > 0:
-            stored = T.StructType([*first.schema.fields, T.StructField("batch", T.LongType())])
-            known = spark.read.schema(stored).parquet(recorded).where(F.col("batch") < batch_id)
-            key = ["bucket", "message_id"]
-            first = first.join(known.select(*key), key, "left_anti")
-        first.write.mode("overwrite").partitionBy("bucket").parquet(f"{recorded}/batch={batch_id}")
+    def first(
+        key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = None
+        if not state.exists:
+            for piece in pieces:
+                if best is not None:
+                    piece = pd.concat([best, piece])
+                best = piece.sort_values(["ts", "event_id"], kind="stable").head(1)
+        if best is not None and len(best):
+            state.update((int(best["event_id"].iloc[0]),))
+            yield best[columns]
+        if forget_after_ms is not None and state.exists:
+            state.setTimeoutDuration(forget_after_ms)
 
+    timeout = (
+        GroupStateTimeout.NoTimeout
+        if forget_after_ms is None
+        else GroupStateTimeout.ProcessingTimeTimeout
+    )
+    return votes.groupBy("message_id").applyInPandasWithState(
+        first, T.StructType(votes.schema.fields), _STATE, "append", timeout
+    )
+
+
+def vote_stream(
+    votes: DataFrame, recorded: str, checkpoint: str, forget_after_ms: int | None = None
+) -> StreamingQuery:
+    """Record the first vote of every message; a restart goes on where the last run ended."""
     return (
-        votes.writeStream.foreachBatch(run)
+        first_votes(votes, forget_after_ms)
+        .writeStream.format("parquet")
+        .option("path", recorded)
         .option("checkpointLocation", checkpoint)
+        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
 
 
 def read_votes(spark: SparkSession, recorded: str) -> DataFrame:
-    return spark.read.parquet(recorded).drop("bucket", "batch")
+    return spark.read.parquet(recorded)
