@@ -265,3 +265,34 @@ def test_branch_sends_null_to_the_default(spark):
         df, F.col("go"), lambda d: d.withColumn("w", F.lit("a")), lambda d: d.withColumn("w", F.lit("b"))
     )
     assert rows(out, "id", "w") == [(1, "a"), (2, "b"), (3, "b")]
+
+
+@pytest.mark.parametrize(("block", "limit"), [(1, 2), (3, 5), (10_000, 200_000)])
+def test_history_of_every_request(spark, block, limit):
+    log = [(s, t, "user" if t % 2 == 0 else "assistant", f"{s}{t}") for s in "ab" for t in range(0, 40, 3 if s == "a" else 1)]
+    log += [("a", 4, "system", "left out"), ("c", 7, "user", "alone")]
+    turns = spark.createDataFrame(log, "conv_id string, turn long, role string, text string")
+    asked = [(f"{s}/{t}", s, t) for s, t, role, _ in log if role == "user"] + [("d/1", "d", 1), ("a/999", "a", 999)]
+    requests = spark.createDataFrame(asked, "request_id string, conv_id string, request_turn long")
+    got = sessions.history_of_requests(requests, turns, block_turns=block, rows_per_slice=limit)
+    want = [
+        (r, s, u, role, text)
+        for r, s, t in asked
+        for s2, u, role, text in log
+        if s2 == s and u < t and role in ("user", "assistant")
+    ]
+    assert sorted(map(tuple, got.select("request_id", "conv_id", "turn", "role", "text").collect())) == sorted(want)
+
+
+def test_answers_are_written_back_once(spark):
+    log = spark.createDataFrame([("s", 0, "user", "q"), ("t", 0, "user", "p")], "session_id string, turn long, role string, text string")
+    answered = spark.createDataFrame(
+        [("s", 0, "q", "a"), ("t", 0, "p", None), ("new", 5, "x", "y")],
+        "session_id string, turn long, pivot_text string, pivot_answer string",
+    )
+    finished = sessions.answered_turns(answered)
+    once = sessions.with_answers(log, finished)
+    want = [("new", 5, "user", "x"), ("new", 6, "assistant", "y"), ("s", 0, "user", "q"),
+            ("s", 1, "assistant", "a"), ("t", 0, "user", "p")]
+    assert sorted(map(tuple, once.collect())) == want
+    assert sorted(map(tuple, sessions.with_answers(once, finished).collect())) == want

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hearken.operators import embedding, retrieval, thinning
+from hearken.operators import embedding, ivf, retrieval, thinning
 from hearken.sources.writers import write_vectors
 
 SCHEMA = "vec_id long, embedding array<float>"
@@ -139,3 +139,46 @@ def test_vectors_table_is_kept_unless_forced(spark, tmp_path):
     write_vectors(two.withColumn("cell", F.lit(3)), path, force_recreate=True)
     stored = spark.read.parquet(path)
     assert stored.count() == 2 and stored.where("cell = 3").count() == 2
+
+
+def cloud(spark, n=600, width=10, seed=9):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(6, width))
+    points = middle[rng.integers(0, 6, n)] + 0.4 * rng.normal(size=(n, width))
+    rows = [(i, p.tolist()) for i, p in enumerate(points)]
+    rows += [(n, [0.0] * width), (n + 1, None), (n + 2, points[0].tolist())]
+    return spark.createDataFrame(rows, "doc_id long, embedding array<double>").repartition(3)
+
+
+def test_probed_lists_find_nearly_all(spark):
+    vectors = cloud(spark)
+    index = ivf.build_index(vectors)
+    assert index.size.sum() == 602 and len(index.size) > 10
+    assert index.lists.agg(F.max(F.length("code"))).first()[0] == 3  # ten numbers in parts of four
+    exact = retrieval.top_k(vectors, vectors, 5, "doc_id", "doc_id")
+    n_probe = ivf.probes_for(index, 0.95, 5)
+    found = ivf.search_index(vectors, index, 5, "doc_id", n_probe=n_probe)
+    assert ivf.recall(found, exact).first()["recall"] >= 0.9
+    assert 0 < index.share_read(vectors, n_probe) < 1
+    # all cells and many candidates: the exact search
+    whole = ivf.search_index(vectors, index, 5, "doc_id", n_probe=len(index.size), refine=200)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, exact.collect()))
+
+
+def test_probed_lists_in_slices(spark, monkeypatch):
+    vectors = cloud(spark, 200)
+    index = ivf.build_index(vectors, 3)
+    want = sorted(map(tuple, ivf.search_index(vectors, index, 2, "doc_id", n_probe=4).collect()))
+    monkeypatch.setattr(ivf, "LIST_ROWS", 7)
+    monkeypatch.setattr(ivf, "QUERY_ROWS", 5)
+    assert sorted(map(tuple, ivf.search_index(vectors, index, 2, "doc_id", n_probe=4).collect())) == want
+
+
+def test_probed_lists_of_few_vectors(spark):
+    vectors = cloud(spark, 200)
+    for part in (vectors.where("doc_id = 3"), vectors.where("doc_id = 200"), vectors.where("false")):
+        index = ivf.build_index(part)
+        n = part.count()
+        found = ivf.search_index(vectors.where("doc_id < 5"), index, 3, "doc_id").collect()
+        assert len(found) == 5 * n and all(r["rank"] == 1 for r in found)
+        assert ivf.probes_for(index) == 1
