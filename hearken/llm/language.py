@@ -25,7 +25,8 @@ TRAIN_ROWS = 30_000
 HELD_OUT = 2
 FOLDS = 4
 UNKNOWN = "und"
-ITERATIONS = 25
+#: Expectation-maximisation ends when no proportion moves by more.
+SETTLED = 1e-4
 #: Neighbouring trigrams overlap, so three count as one observation.
 OVERLAP = 3.0
 PENALTY = 2.0
@@ -68,14 +69,12 @@ class LanguageModel:
         """Proportions and log-likelihood of the best mixture of the languages ``of``."""
         p = self.p[np.ix_(of, grams)]
         share = np.full(len(of), 1.0 / len(of))
-        for _ in range(ITERATIONS):
+        moved = 1.0
+        while moved > SETTLED:  # the likelihood is concave in the proportions, so steps shrink
             weighted = share[:, None] * p
-            total = weighted.sum(axis=0)
-            new = (weighted @ (n / total)) / n.sum()
-            done = np.abs(new - share).max() < 1e-4
+            new = (weighted @ (n / weighted.sum(axis=0))) / n.sum()
+            moved = np.abs(new - share).max()
             share = new
-            if done:
-                break
         return share, float(n @ np.log(share @ p))
 
     def infer(self, text: str) -> tuple[list[tuple[str, float]], float]:
@@ -88,7 +87,7 @@ class LanguageModel:
         if len(self.languages) == 1:
             return [(self.languages[0], 1.0)], 1.0
         share, _ = self._mixture(list(range(len(self.languages))), grams, n)
-        order = [int(k) for k in np.argsort(-share, kind="stable") if share[k] > 0.01]
+        order = np.argsort(-share, kind="stable").tolist()
         chosen, best, best_share = [first], float(alone[first]), np.ones(1)
         price = PENALTY + 0.5 * np.log(1.0 + n.sum())
         for k in order:

@@ -31,7 +31,7 @@ FREQUENT_PIECES = 60_000
 FREQUENT_ROWS = 20_000
 SAMPLED_TASKS = 32
 #: Pieces a worker keeps besides, in a table that fills and the one before it.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 1_200_000
 #: Texts handled together.
 GROUP = 256
 

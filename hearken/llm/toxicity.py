@@ -31,8 +31,6 @@ SHORTEST, LONGEST = 4, 8
 #: An entry stands in at least so many toxic documents, and so large a part of them.
 MIN_DOCUMENTS, MIN_PART = 5, 0.004
 MIN_PRECISION = 0.8
-#: Patterns of toxic rows that are counted in the others, and exception phrases.
-MAX_PATTERNS, MAX_PHRASES = 300_000, 20_000
 THRESHOLD = 0.3
 #: Patterns a training task holds before it hands its sums on.
 HELD_PATTERNS = 200_000
@@ -219,8 +217,6 @@ def fit_lexicon(sample: DataFrame) -> Lexicon:
         _sums(sample.where("toxic = 1"), lambda text: _patterns(fold(text)))
         .where(F.col("bad") >= least)
         .select("pattern", "bad")
-        .orderBy(F.desc("bad"), "pattern")
-        .limit(MAX_PATTERNS)
         .collect()
     )
     bad_of = {r["pattern"]: r["bad"] for r in often}
@@ -281,7 +277,7 @@ def _exceptions(sample: DataFrame, doubtful: list[str]) -> set[str]:
             f"{words[i]} {words[i + 1]}" for i in range(len(words) - 1) if hit[i] or hit[i + 1]
         }
 
-    rows = _sums(sample, phrases).where("bad = 0 AND good >= 3").limit(MAX_PHRASES).collect()
+    rows = _sums(sample, phrases).where("bad = 0 AND good >= 3").collect()
     return {r["pattern"] for r in rows}
 
 
