@@ -10,6 +10,7 @@ by the library, so results never depend on this shortcut.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import uuid
@@ -31,7 +32,7 @@ FREQUENT_PIECES = 60_000
 FREQUENT_ROWS = 20_000
 SAMPLED_TASKS = 32
 #: Pieces a worker keeps besides, in a table that fills and the one before it.
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 800_000
 #: Texts handled together.
 GROUP = 256
 
@@ -118,26 +119,22 @@ class PieceEncoder:
 
     def learn(self, missing: set[str]) -> None:
         known, before = self.known, self.before
-        parts, wanted = [], set()
-        for piece in missing:
-            if piece in before:
-                known[piece] = before[piece]
-            elif plain := _PLAIN.fullmatch(piece):
-                word, tail = plain.groups()
-                parts.append((piece, word, tail))
-                if word in before:
-                    known[word] = before[word]
-                elif word not in known:
-                    wanted.add(word)
-            else:
-                wanted.add(piece)
+        again = missing & before.keys()
+        known.update((p, before[p]) for p in again)
+        plain = [m for m in map(_PLAIN.fullmatch, missing - again) if m]
+        wanted = missing - again
+        wanted.difference_update([m[0] for m in plain])
+        words = {m[1] for m in plain}.difference(known)
+        again = words & before.keys()
+        known.update((w, before[w]) for w in again)
+        wanted |= words - again
         spaced = [p for p in wanted if p[:1] != "\n"]
         lines = [p for p in wanted if p[:1] == "\n"]
         for pieces, joiner in ((spaced, " "), (lines, "\n")):
             for i in range(0, len(pieces), 4096):
                 self._encode(pieces[i : i + 4096], joiner)
-        for piece, word, tail in parts:
-            known[piece] = known[word] + self._tail(tail)
+        tail = self._tail
+        known.update((m[0], known[m[1]] + tail(m[2])) for m in plain)
 
     def _whole(self, text: str):
         return self._value(self._ids(text))
@@ -149,6 +146,15 @@ class PieceEncoder:
         return b"".join(map(get, pieces))[4 * len(self.line_end) :]
 
     def encode(self, texts: list[str]) -> list:
+        """Value of each text. Nothing here forms cycles, so the collector rests meanwhile; it
+        would walk the lists of pieces again and again."""
+        gc.disable()
+        try:
+            return self._encode_all(texts)
+        finally:
+            gc.enable()
+
+    def _encode_all(self, texts: list[str]) -> list:
         out: list = [None] * len(texts)
         waiting: dict[int, list[str]] = {}
         for i, text in enumerate(texts):
