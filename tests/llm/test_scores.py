@@ -80,11 +80,6 @@ def test_mixtures_equal_plain_em(model):
     assert seen == {1, 2, 3}
 
 
-def test_small_shares_are_not_cut(model):
-    text = " ".join(WORDS["en"] * 60 + WORDS["fr"] * 2)  # under 4 % French
-    assert {k for k, _ in model.infer(text)[0]} == {"en", "fr"}
-
-
 def brute_matched(entries, exceptions, words):
     total = 0.0
     inside = set()
