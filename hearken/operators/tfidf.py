@@ -2,29 +2,83 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearken.functions.text import char_ngrams, clean_text
+from hearken.functions.text import clean_text
 from hearken.operators.skew import ROWS_PER_SLICE, heavy_from_counts, sliced_join
 
 MIN_DF = 2
+LONGEST = 5
+#: Distinct grams that a task holds before it hands its sums on.
+HELD_GRAMS = 500_000
+
+
+def grams_of(text: str) -> list[str]:
+    """All character 1-5-grams of a normalised text."""
+    n = len(text)
+    return [text[i : i + k] for k in range(1, LONGEST + 1) for i in range(n - k + 1)]
 
 
 def ngram_counts(docs: DataFrame, id_col: str, text: str = "text") -> DataFrame:
-    """(id, gram, tf) over the whole normalised text."""
-    grams = docs.select(id_col, F.explode(char_ngrams(clean_text(text))).alias("gram"))
-    return grams.groupBy(id_col, "gram").agg(F.count("*").alias("tf"))
+    """(id, gram, tf) over the whole normalised text, counted inside each row: nothing
+    moves. Rows that repeat an id keep counts of their own."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, grams, times, held = [], [], [], 0
+            for row, clean in enumerate(batch.column(1).to_pylist()):
+                own = Counter(grams_of(clean or ""))
+                rows += [row] * len(own)
+                grams += own.keys()
+                times += own.values()
+                held += len(own)
+                if held > HELD_GRAMS or row == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).take(pa.array(rows, pa.int32())),
+                            pa.array(grams, pa.string()),
+                            pa.array(times, pa.int64()),
+                        ],
+                        names=[id_col, "gram", "tf"],
+                    )
+                    rows, grams, times, held = [], [], [], 0
+
+    cleaned = docs.select(id_col, clean_text(text).alias("_clean"))
+    return cleaned.mapInArrow(count, f"`{id_col}` {kind}, gram string, tf long")
 
 
 def ngram_df(docs: DataFrame, text: str = "text", min_df: int = MIN_DF) -> DataFrame:
-    """Documents per gram. Grams are made distinct inside each row, so no
-    (document, gram) pair is shuffled and counts combine before the exchange."""
-    grams = docs.select(F.explode(F.array_distinct(char_ngrams(clean_text(text)))).alias("gram"))
+    """Documents per gram. Grams are made distinct inside each row and added up in each
+    task, so what is shuffled is a gram with a count, once a task."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+
+        def sums() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())],
+                names=["gram", "n"],
+            )
+
+        for batch in batches:
+            for clean in batch.column(0).to_pylist():
+                total.update(set(grams_of(clean or "")))
+                if len(total) > HELD_GRAMS:
+                    yield sums()
+                    total.clear()
+        yield sums()
+
+    grams = docs.select(clean_text(text).alias("_clean")).mapInArrow(count, "gram string, n long")
     # No gram is null. Said here, the filter that joins add makes no second plan of it,
     # and one exchange serves every use.
     grams = grams.where(F.col("gram").isNotNull())
-    return grams.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+    return grams.groupBy("gram").agg(F.sum("n").alias("df")).where(F.col("df") >= min_df)
 
 
 def idf(n_docs, df):
@@ -57,7 +111,7 @@ def char_tfidf(
 
 
 def tfidf_summary(weights: DataFrame, id_col: str) -> DataFrame:
-    """Per document: terms, raw count, norm and heaviest gram (first by text on ties)."""
+    """Per document: terms, raw count, norm, greatest weight and squared length of the unit row."""
     rounded = F.round("weight", 6)
     return weights.groupBy(id_col).agg(
         F.count("*").alias("n_terms"),

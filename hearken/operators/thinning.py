@@ -4,8 +4,8 @@ Per group: k-means over the answer vectors, then for every centre the answer of
 the whole group with the highest cosine to it.
 
 * groups of at most ``group_rows`` rows are clustered each in one task;
-* larger groups are cut into slices of about that size and clustered by rounds of
-  slice sums, with only the centres passing from round to round.
+* larger groups are cut into slices, packed once, and clustered by rounds of sums over
+  the slices where they lie; only centres and sums pass between rounds.
 
 Both ways use the same seeds: round r takes the row with the largest
 distance / exponential variate, a hash of (seed, r, pair_id). That is k-means++
@@ -14,6 +14,8 @@ sampling without a driver-side generator, and it does not depend on row order.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +25,7 @@ from hearken.functions.vectors import cosine
 from hearken.operators.arrays import to_matrix, unit_rows
 from hearken.operators.groups import KEEP
 from hearken.operators.skew import ROWS_PER_SLICE, sliced_join
-from hearken.session import settle
+from hearken.session import store
 
 SEED = 42
 GROUP_ROWS = 20_000
@@ -31,7 +33,11 @@ GROUP_ROWS = 20_000
 MAX_ROUNDS = 300
 SETTLED = 1e-8
 DIGITS = 6
+#: Rows of one packed slice, and bytes of the centres that one broadcast may hold.
+SLICE_ROWS = 4096
+CENTRE_BYTES = 64 << 20
 
+PACKED = "group_id long, width int, ids binary, vectors binary, races binary"
 PICKS = "group_id long, cluster int, pair_id long, score double"
 
 
@@ -145,143 +151,175 @@ def _small_groups(rows: DataFrame, keep: int, max_rounds: int) -> DataFrame:
 
 
 def _large_groups(rows: DataFrame, keep: int, group_rows: int, max_rounds: int) -> DataFrame:
-    """Rounds over slices. State: (group_id, slices, cluster, centre), ``keep`` rows a group."""
-    slices = F.ceil(F.col("n") / group_rows).cast("int")
-    sliced = settle(
-        rows.withColumn("slices", slices).withColumn(
-            "slice", F.pmod(F.xxhash64("pair_id"), F.col("slices")).cast("int")
-        )
-    )
-    state = settle(
-        sliced.groupBy("group_id", "slices")
-        .agg(
-            F.min_by("vector", F.struct(F.element_at("race", 1), F.col("pair_id"))).alias("centre")
-        )
-        .select("group_id", "slices", F.lit(0).alias("cluster"), "centre")
-    )
-    for r in range(1, keep):
-        found = (
-            _per_slice(sliced, state, _seed_step(r), "group_id long, score double, pair_id long,"
-                       " centre array<double>")
-            .groupBy("group_id")
-            .agg(F.max_by("centre", F.struct(F.col("score"), -F.col("pair_id"))).alias("centre"))
-        )
-        sizes = state.where(F.col("cluster") == 0).select("group_id", "slices")
-        added = sizes.join(found, "group_id").withColumn("cluster", F.lit(r))
-        state = settle(state.unionByName(added))
-    for _ in range(max_rounds):
-        sums = (
-            _per_slice(sliced, state, _sum_step,
-                       "group_id long, cluster int, n long, sums array<double>")
-            .select("group_id", "cluster", "n", F.posexplode("sums").alias("at", "part"))
-            .groupBy("group_id", "cluster", "at")
-            .agg((F.sum("part") / F.sum("n")).alias("value"))
-            .groupBy("group_id", "cluster")
-            .agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("cells"))
-            .select("group_id", "cluster", F.col("cells.value").alias("mean"))
-        )
-        gap = F.aggregate(
-            F.zip_with("old", "centre", lambda a, b: (a - b) * (a - b)),
-            F.lit(0.0),
-            lambda acc, v: acc + v,
-        )
-        moved = settle(
-            state.withColumnRenamed("centre", "old")
-            .join(sums, ["group_id", "cluster"], "left")
-            .withColumn("centre", F.coalesce("mean", "old"))
-            .withColumn("shift", gap)
-            .select("group_id", "slices", "cluster", "centre", "shift")
-        )
-        state = moved.drop("shift")
-        furthest = moved.agg(F.max("shift")).first()[0]
-        if furthest is None or furthest <= SETTLED:
-            break
-    best = F.max_by(F.struct("pair_id", "score"), F.struct(F.col("score"), -F.col("pair_id")))
-    return (
-        _per_slice(sliced, state, _pick_step, PICKS)
-        .groupBy("group_id", "cluster")
-        .agg(best.alias("best"))
-        .select("group_id", "cluster", "best.pair_id", "best.score")
+    """Rounds over packed slices; vectors are shuffled once, to be packed.
+
+    A slice of a group is one stored row with its vectors, ids and variates as matrices.
+    Each round reads the slices where they lie, with the centres broadcast, and only sums
+    move. Groups whose centres stand still leave. Groups are taken together as long as
+    their centres fit ``CENTRE_BYTES``.
+    """
+    spark = rows.sparkSession
+    size = min(group_rows, SLICE_ROWS)
+    slices = F.ceil(F.col("n") / size).cast("int")
+    blocks = store(
+        rows.withColumn("slice", F.pmod(F.xxhash64("pair_id"), slices))
+        .groupBy("group_id", "slice")
+        .applyInArrow(_pack, PACKED),
+        "slices",
     )
+    counted = blocks.agg(F.count_distinct("group_id"), F.max("width")).first()
+    rounds = max(1, -(-counted[0] * keep * (counted[1] or 1) * 8 // CENTRE_BYTES))
+    out = spark.createDataFrame([], PICKS)
+    for b in range(rounds):
+        own = blocks
+        if rounds > 1:
+            own = blocks.where(F.pmod(F.xxhash64("group_id"), F.lit(rounds)) == b)
+        centres = _settled_centres(own, keep, max_rounds)
+        out = out.unionByName(_closest_rows(own, centres))
+    return out
 
 
-def _per_slice(sliced: DataFrame, state: DataFrame, step, schema: str) -> DataFrame:
-    """Run ``step(rows, centres)`` on every slice with the centres of its group."""
-    repeated = state.withColumn(
-        "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    )
-    return (
-        sliced.groupBy("group_id", "slice")
-        .cogroup(repeated.groupBy("group_id", "slice"))
-        .applyInArrow(step, schema)
-    )
+def _pack(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("pair_id")
+    x = to_matrix(rows["vector"])
 
+    def packed(m: np.ndarray) -> pa.Array:
+        return pa.array([np.ascontiguousarray(m).tobytes()], pa.binary())
 
-def _opened(rows: pa.Table, centres: pa.Table):
-    rows, centres = rows.sort_by("pair_id"), centres.sort_by("cluster")
-    return rows, to_matrix(rows["vector"]), to_matrix(centres["centre"])
+    return pa.table(
+        {
+            "group_id": rows["group_id"].slice(0, 1),
+            "width": pa.array([x.shape[1]], pa.int32()),
+            "ids": packed(rows["pair_id"].to_numpy()),
+            "vectors": packed(x),
+            "races": packed(to_matrix(rows["race"])),
+        }
+    )
 
 
-def _seed_step(r: int):
-    def step(rows: pa.Table, centres: pa.Table) -> pa.Table:
-        if rows.num_rows == 0:
-            return pa.table(
-                {
-                    "group_id": pa.array([], pa.int64()),
-                    "score": pa.array([], pa.float64()),
-                    "pair_id": pa.array([], pa.int64()),
-                    "centre": pa.array([], pa.list_(pa.float64())),
-                }
-            )
-        rows, x, known = _opened(rows, centres)
-        score = squared_distances(x, known).min(axis=1) / to_matrix(rows["race"])[:, r]
-        at = int(score.argmax())
-        return pa.table(
-            {
-                "group_id": rows["group_id"].slice(at, 1),
-                "score": pa.array([score[at]]),
-                "pair_id": rows["pair_id"].slice(at, 1),
-                "centre": pa.array([x[at]], pa.list_(pa.float64())),
-            }
+def _unpacked(batches: Iterator[pa.RecordBatch]):
+    """Group, vectors, ids and variates of each slice."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            ids = np.frombuffer(r["ids"], np.int64)
+            x = np.frombuffer(r["vectors"]).reshape(len(ids), r["width"])
+            yield r["group_id"], x, ids, np.frombuffer(r["races"]).reshape(len(ids), -1)
+
+
+def _highest(blocks: DataFrame, score, centres: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """Each group's row of highest ``score(x, race, centres)``, lowest id on ties."""
+    shared = blocks.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple] = {}
+        for group, x, ids, race in _unpacked(batches):
+            value = score(x, race, shared.value.get(group))
+            at = int(value.argmax())
+            own = (float(value[at]), -int(ids[at]), x[at].tobytes())
+            if group not in best or own[:2] > best[group][:2]:
+                best[group] = own
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(list(best), pa.int64()),
+                pa.array([v[0] for v in best.values()], pa.float64()),
+                pa.array([v[1] for v in best.values()], pa.int64()),
+                pa.array([v[2] for v in best.values()], pa.binary()),
+            ],
+            names=["group_id", "score", "order", "vector"],
         )
 
-    return step
+    found = blocks.mapInArrow(run, "group_id long, score double, order long, vector binary")
+    rows = found.groupBy("group_id").agg(F.max_by("vector", F.struct("score", "order")).alias("v"))
+    out = {r["group_id"]: np.frombuffer(r["v"]) for r in rows.collect()}
+    shared.destroy()
+    return out
 
 
-def _sum_step(rows: pa.Table, centres: pa.Table) -> pa.Table:
-    group, cluster, n, sums = [], [], [], []
-    if rows.num_rows:
-        rows, x, known = _opened(rows, centres)
-        nearest = squared_distances(x, known).argmin(axis=1)
-        for c in np.unique(nearest):
-            own = x[nearest == c]
-            group.append(rows["group_id"][0].as_py())
-            cluster.append(int(c))
-            n.append(len(own))
-            sums.append(own.sum(axis=0))
-    return pa.table(
-        {
-            "group_id": pa.array(group, pa.int64()),
-            "cluster": pa.array(cluster, pa.int32()),
-            "n": pa.array(n, pa.int64()),
-            "sums": pa.array(sums, pa.list_(pa.float64())),
+def _cluster_sums(blocks: DataFrame, centres: dict[int, np.ndarray]) -> list:
+    """(group_id, cluster, n, sums): added up in each task, then over all."""
+    shared = blocks.sparkSession.sparkContext.broadcast(centres)
+    schema = "group_id long, cluster int, n long, sums binary"
+
+    def rows(sums: dict[tuple[int, int], tuple[int, np.ndarray]]) -> dict:
+        return {
+            "group_id": pa.array([g for g, _ in sums], pa.int64()),
+            "cluster": pa.array([c for _, c in sums], pa.int32()),
+            "n": pa.array([n for n, _ in sums.values()], pa.int64()),
+            "sums": pa.array([v.tobytes() for _, v in sums.values()], pa.binary()),
         }
-    )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for group, x, _, _ in _unpacked(batches):
+            known = shared.value.get(group)
+            if known is None:  # settled
+                continue
+            nearest = squared_distances(x, known).argmin(axis=1)
+            for c in np.unique(nearest):
+                own = x[nearest == c]
+                n, total = sums.get((group, int(c)), (0, 0.0))
+                sums[group, int(c)] = n + len(own), total + own.sum(axis=0)
+        yield pa.RecordBatch.from_pydict(rows(sums))
+
+    def add(parts: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(v) for v in parts["sums"].to_pylist())
+        key = parts["group_id"][0].as_py(), parts["cluster"][0].as_py()
+        return pa.table(rows({key: (sum(parts["n"].to_pylist()), total)}))
+
+    found = blocks.mapInArrow(run, schema).groupBy("group_id", "cluster").applyInArrow(add, schema)
+    out = found.collect()
+    shared.destroy()
+    return out
+
+
+def _settled_centres(blocks: DataFrame, keep: int, max_rounds: int) -> dict[int, np.ndarray]:
+    """Centres (cluster, width) of all groups of ``blocks``."""
+    seeds = _highest(blocks, lambda x, race, _: -race[:, 0], {})
+    centres = {g: v[None, :] for g, v in seeds.items()}
+    for r in range(1, keep):
+
+        def gap(x: np.ndarray, race: np.ndarray, known: np.ndarray, r: int = r) -> np.ndarray:
+            return squared_distances(x, known).min(axis=1) / race[:, r]
 
-def _pick_step(rows: pa.Table, centres: pa.Table) -> pa.Table:
-    group, picked, score = [], np.zeros(0, dtype=np.int64), np.zeros(0)
-    if rows.num_rows:
-        rows, x, known = _opened(rows, centres)
-        picked, score = closest(x, rows["pair_id"].to_numpy(), known)
-        group = [rows["group_id"][0].as_py()] * len(picked)
-    return pa.table(
-        {
-            "group_id": pa.array(group, pa.int64()),
-            "cluster": pa.array(range(len(group)), pa.int32()),
-            "pair_id": pa.array(picked, pa.int64()),
-            "score": pa.array(score, pa.float64()),
+        for g, v in _highest(blocks, gap, centres).items():
+            centres[g] = np.vstack([centres[g], v])
+    moving = dict(centres)
+    for _ in range(max_rounds):
+        if not moving:
+            break
+        moved = {g: c.copy() for g, c in moving.items()}
+        for r in _cluster_sums(blocks, moving):
+            moved[r["group_id"]][r["cluster"]] = np.frombuffer(r["sums"]) / r["n"]
+        centres.update(moved)
+        moving = {
+            g: c for g, c in moved.items() if ((c - moving[g]) ** 2).sum(axis=1).max() > SETTLED
         }
+    return centres
+
+
+def _closest_rows(blocks: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+    """The row closest to each centre of each group."""
+    shared = blocks.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, x, ids, _ in _unpacked(batches):
+            picked, score = closest(x, ids, shared.value[group])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(picked), group)),
+                    pa.array(np.arange(len(picked)), pa.int32()),
+                    pa.array(picked),
+                    pa.array(score),
+                ],
+                names=["group_id", "cluster", "pair_id", "score"],
+            )
+
+    best = F.max_by(F.struct("pair_id", "score"), F.struct(F.col("score"), -F.col("pair_id")))
+    return (
+        blocks.mapInArrow(run, PICKS)
+        .groupBy("group_id", "cluster")
+        .agg(best.alias("best"))
+        .select("group_id", "cluster", "best.pair_id", "best.score")
     )
 
 

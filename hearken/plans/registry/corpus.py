@@ -116,6 +116,29 @@ def thin_large_groups(spark: SparkSession, sf: str) -> DataFrame:
     return thinning.pick_representatives(_label_members(spark, sf), group_rows=25, max_rounds=20)
 
 
+@query(
+    """SELECT label::BIGINT AS group_id, least(5, count(*))::BIGINT AS n_picks, true AS own_members,
+        true AS same_in_slices FROM embeddings GROUP BY label"""
+)
+def thinned_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Picks per label are its own members, and rounds over slices make the same picks."""
+    members = _label_members(spark, sf)
+    whole = thinning.pick_representatives(members)
+    sliced = thinning.pick_representatives(members, group_rows=25).select(
+        "group_id", "cluster", F.col("pair_id").alias("other")
+    )
+    own = members.select("group_id", "pair_id", F.lit(True).alias("own"))
+    key = F.coalesce("cluster", F.lit(-1))
+    both = whole.withColumn("cluster", key).join(
+        sliced.withColumn("cluster", key), ["group_id", "cluster"], "left"
+    )
+    return both.join(own, ["group_id", "pair_id"], "left").groupBy("group_id").agg(
+        F.count("*").alias("n_picks"),
+        F.every(F.coalesce("own", F.lit(False))).alias("own_members"),
+        F.every(F.coalesce(F.col("pair_id") == F.col("other"), F.lit(False))).alias("same_in_slices"),
+    )
+
+
 @query(
     f"""{_REPORT} FROM (SELECT n, {_ROUTE} AS route FROM (
         SELECT {_CONTEXT} AS context, count(*) AS n FROM documents GROUP BY 1))"""
@@ -146,6 +169,14 @@ def pairs_through_csv(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_pairs_csv(spark, path).select("context", "response")
 
 
+@query(f"SELECT {_CONTEXT} AS context, text AS response FROM documents")
+def pairs_by_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The same files, cut into records by ranges."""
+    path = scratch_path(spark, "pairs_csv")
+    writers.write_pairs(_pairs(spark, sf), path)
+    return readers.read_pairs_csv_ranges(spark, path).select("context", "response")
+
+
 @query(f"SELECT {_CONTEXT} AS context, text AS response FROM documents")
 def pairs_through_json(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "pairs_json")

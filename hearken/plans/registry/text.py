@@ -19,10 +19,10 @@ from hearken.functions.text import (
     words,
 )
 from hearken.functions.vectors import let, prediction, softmax
-from hearken.operators import metrics, profile, tfidf
+from hearken.operators import metrics, profile, sketches, tfidf
 from hearken.operators.groups import recombine
 from hearken.plans.registry.base import clean, query, table
-from hearken.session import spread
+from hearken.session import spread, store
 from hearken.sources.readers import features_and_label
 
 LANGS = ["de", "en", "es", "fr"]
@@ -126,6 +126,24 @@ def corpus_profile(spark: SparkSession, sf: str) -> DataFrame:
     return profile.corpus_profile(table(spark, sf, "documents"), "text")
 
 
+@query(
+    """SELECT count(*) AS n_rows, count(*) FILTER (WHERE text IS NULL) AS n_null,
+        sum(length(text))::BIGINT AS n_chars, max(length(text))::INTEGER AS max_chars,
+        true AS near_exact FROM documents"""
+)
+def merged_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """A profile from stored sketches of the sources, of which one came later; its number of
+    distinct texts lies within three standard errors of the exact one."""
+    docs = table(spark, sf, "documents")
+    late = F.col("source").eqNullSafe(docs.agg(F.max("source")).first()[0])
+    parts = store(sketches.part_profiles(docs.where(~late), "source", "text"), "profiles")
+    parts = store(sketches.add_parts(parts, sketches.part_profiles(docs.where(late), "source", "text")), "profiles")
+    exact = docs.agg(F.count_distinct("text")).first()[0]
+    error = 3 * 1.04 / 2 ** (sketches.LG_K / 2)
+    near = F.abs(F.col("n_distinct") - exact) <= F.lit(max(1.0, error * exact))
+    return sketches.merged_profile(parts).withColumn("near_exact", near).drop("n_distinct")
+
+
 @query("SELECT text, count(*) AS n FROM documents GROUP BY text")
 def value_counts(spark: SparkSession, sf: str) -> DataFrame:
     return profile.value_counts(table(spark, sf, "documents"), "text")

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from hearken.operators import groups, metrics, profile, routing, sessions, skew, tfidf
+from hearken.operators import groups, metrics, profile, routing, sessions, sketches, skew, tfidf
 
 
 def rows(df, *cols):
@@ -296,3 +296,30 @@ def test_answers_are_written_back_once(spark):
             ("s", 1, "assistant", "a"), ("t", 0, "user", "p")]
     assert sorted(map(tuple, once.collect())) == want
     assert sorted(map(tuple, sessions.with_answers(once, finished).collect())) == want
+
+
+def test_profiles_add_up(spark):
+    data = [(i % 7, None if i % 11 == 0 else f"text {i % 900}") for i in range(3000)]
+    data += [(None, "alone"), (9, None)]
+    df = spark.createDataFrame(data, "day int, text string")
+    early = sketches.part_profiles(df.where("day < 3 OR day IS NULL"), "day", "text")
+    late = sketches.part_profiles(df.where("day >= 2"), "day", "text")  # day 2 again
+    got = sketches.merged_profile(sketches.add_parts(early, late)).first()
+    texts = [t for _, t in data if t]
+    assert (got.n_rows, got.n_null) == (len(data), len(data) - len(texts))
+    assert (got.n_chars, got.max_chars) == (sum(map(len, texts)), max(map(len, texts)))
+    assert abs(got.n_distinct - len(set(texts))) <= 0.05 * len(set(texts))
+    none = sketches.merged_profile(sketches.part_profiles(df.where("false"), "day", "text")).first()
+    assert (none.n_rows, none.n_distinct) == (0, 0)
+
+
+def test_grams_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "Ab  ab"), (1, "ab"), (2, None), (3, ""), (None, "é漢")], "id int, text string")
+    got = Counter(map(tuple, tfidf.ngram_counts(docs, "id").collect()))
+    want = Counter()
+    for i, clean in [(1, "ab ab"), (1, "ab"), (None, "é漢")]:
+        own = Counter(clean[a : a + n] for n in range(1, 6) for a in range(len(clean) - n + 1))
+        want.update((i, g, n) for g, n in own.items())
+    assert got == want
+    assert {tuple(r) for r in tfidf.ngram_df(docs).collect()} == {("a", 2), ("b", 2), ("ab", 2)}
+    assert tfidf.ngram_counts(docs.where("false"), "id").collect() == []

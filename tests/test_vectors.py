@@ -182,3 +182,31 @@ def test_probed_lists_of_few_vectors(spark):
         found = ivf.search_index(vectors.where("doc_id < 5"), index, 3, "doc_id").collect()
         assert len(found) == 5 * n and all(r["rank"] == 1 for r in found)
         assert ivf.probes_for(index) == 1
+
+
+def test_files_follow_cells_not_tasks(spark, tmp_path):
+    vectors = spark.range(4000).selectExpr(
+        "id AS doc_id", "array(double(id), 1.0) AS embedding", "int(id % 5) AS cell"
+    ).repartition(16)
+    write_vectors(vectors, str(tmp_path / "v"))
+    files = list((tmp_path / "v").rglob("*.parquet"))
+    assert len(files) == 5
+    assert spark.read.parquet(str(tmp_path / "v")).where("cell = 3").count() == 800
+
+
+def test_large_groups_shuffle_vectors_once(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, 1000 * g + i, 120, rng.normal(size=4).tolist()) for g in (1, 2) for i in range(120)]
+    members = spark.createDataFrame(rows, "group_id long, pair_id long, n long, embedding array<double>")
+    whole = sorted(map(tuple, thinning.pick_representatives(members).collect()))
+    for rows_at_once, centres in ((30, 64 << 20), (7, 64)):  # the second takes groups one by one
+        thinning.CENTRE_BYTES, before = centres, thinning.CENTRE_BYTES
+        try:
+            sliced = thinning.pick_representatives(members, group_rows=rows_at_once)
+            plan = sliced._jdf.queryExecution().executedPlan().toString()
+            got = sorted(map(tuple, sliced.collect()))
+        finally:
+            thinning.CENTRE_BYTES = before
+        assert [r[:3] for r in got] == [r[:3] for r in whole]
+        # what is left to run reads packed slices: no exchange stands below the pass over them
+        assert "FlatMapGroupsInArrow" not in plan.split("MapInArrow")[-1]
