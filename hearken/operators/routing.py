@@ -85,11 +85,17 @@ def with_defaults(df: DataFrame) -> DataFrame:
 def join_replies(df: DataFrame, replies: DataFrame, key: str = "request_id") -> DataFrame:
     """Add ``reply``, null where none came.
 
-    Several replies to one row count once: the least of those that say something, so an empty
-    retry never hides a reply.
+    Several replies to one row count once, and an empty retry never hides a reply: of those
+    that say something the one of the last ``attempt`` counts, if the replies have such a
+    column, else the least.
     """
-    said = F.min(F.when(F.trim("reply") != "", F.col("reply")))
-    one = replies.groupBy(key).agg(F.coalesce(said, F.min("reply")).alias("reply"))
+    says = F.trim("reply") != ""
+    if "attempt" in replies.columns:
+        last = F.struct("attempt", "reply")
+        said, any_ = (F.max(F.when(when, last))["reply"] for when in (says, F.col("reply").isNotNull()))
+    else:
+        said, any_ = F.min(F.when(says, F.col("reply"))), F.min("reply")
+    one = replies.groupBy(key).agg(F.coalesce(said, any_).alias("reply"))
     return df.join(one, key, "left")
 
 

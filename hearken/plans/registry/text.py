@@ -22,8 +22,8 @@ from hearken.functions.vectors import let, prediction, softmax
 from hearken.operators import metrics, profile, sketches, tfidf
 from hearken.operators.groups import recombine
 from hearken.plans.registry.base import clean, query, table
-from hearken.session import spread, store
-from hearken.sources.readers import features_and_label
+from hearken.session import scratch_path, spread, store
+from hearken.sources.readers import features_and_label, read_labelled
 
 LANGS = ["de", "en", "es", "fr"]
 QUALITY = {0: "low", 1: "high"}
@@ -199,6 +199,14 @@ def labelled_splits(spark: SparkSession, sf: str) -> DataFrame:
     return profile.assign_split(table(spark, sf, "documents")).select("doc_id", "lang", "split")
 
 
+@query(f"SELECT doc_id, lang, split FROM (SELECT doc_id, lang, {_SPLIT} AS split FROM ({_BUCKETS})) WHERE split = 'test'")
+def labelled_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled files without splits, read as the test split."""
+    path = scratch_path(spark, "labelled")
+    table(spark, sf, "documents").select("doc_id", "text", "lang").write.parquet(path)
+    return read_labelled(spark, path, "text", "lang", "test", "doc_id").select("doc_id", "lang", "split")
+
+
 @query(f"SELECT {_SPLIT} AS split, count(*) AS n FROM ({_BUCKETS}) GROUP BY 1")
 def split_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return profile.split_sizes(profile.assign_split(table(spark, sf, "documents")))

@@ -323,3 +323,15 @@ def test_grams_of_odd_rows(spark):
     assert got == want
     assert {tuple(r) for r in tfidf.ngram_df(docs).collect()} == {("a", 2), ("b", 2), ("ab", 2)}
     assert tfidf.ngram_counts(docs.where("false"), "id").collect() == []
+
+
+def test_last_attempt_that_says_something_counts(spark):
+    asked = spark.createDataFrame([(x,) for x in "abcd"], "request_id string")
+    replies = spark.createDataFrame(
+        [("a", "zebra", 1), ("a", "apple", 2), ("a", " ", 3), ("b", "", 1), ("b", None, 2), ("c", None, 1)],
+        "request_id string, reply string, attempt int",
+    )
+    got = {r.request_id: r.reply for r in routing.join_replies(asked, replies).collect()}
+    assert got == {"a": "apple", "b": "", "c": None, "d": None}
+    untimed = {r.request_id: r.reply for r in routing.join_replies(asked, replies.drop("attempt")).collect()}
+    assert untimed == got
