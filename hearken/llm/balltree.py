@@ -5,13 +5,13 @@ shrinks with the document's length; an item's vector has the terms' weights. The
 their inner product. Only terms of the items are kept, so vectors are short.
 
 Each task builds ball trees over its own documents, some thousands at a time: a node has
-the centroid of its vectors and, for each of ``GROUPS`` groups of terms, the greatest
-distance of a vector from the centroid within those terms. A node's scores are at most
+the centroid of its vectors, the radius of their ball, and along each term the greatest
+distance above the centroid. A node's scores are at most
 
-    <item, centroid> + min(|item| * radius, sum over groups of |item in group| * radius of group)
+    <item, centroid> + min(|item| * radius, sum over terms of item's weight * distance along the term)
 
-computed in doubles and raised by a margin far above their rounding errors. Nodes are taken
-best bound first; those whose bound is below the least score still wanted are pruned with
+The first is computed in doubles and raised by a margin far above their rounding errors; the
+second is the item's product with the greatest entries, in integers. Nodes are taken best bound first; those whose bound is below the least score still wanted are pruned with
 all below them. Leaves are scored in 64-bit integers. The scores wanted start from those
 of a bounded sample of the documents, which can only be too low, so nothing is lost.
 """
@@ -32,8 +32,8 @@ from hearken.llm.common import in_arrow, query, stored, table, text_key
 from hearken.llm.hashing import PUNCTUATION, hashed_texts
 
 TOP = 10
-#: Documents of one tree and of one leaf, groups of terms, documents of the sample.
-TREE_ROWS, LEAF_ROWS, GROUPS = 4096, 64, 64
+#: Documents of one tree and of one leaf, and of the sample.
+TREE_ROWS, LEAF_ROWS = 4096, 32
 SAMPLE_ROWS = 20_000
 #: Distinct terms of the items that one pass looks for; more items make more passes.
 BLOCK_TERMS = 20_000
@@ -161,11 +161,11 @@ class BallTree:
 
     def __init__(
         self, offsets: np.ndarray, terms: np.ndarray, values: np.ndarray, size: int,
-        leaf: int = LEAF_ROWS, groups: int = GROUPS,
+        leaf: int = LEAF_ROWS,
     ) -> None:
         rows = len(offsets) - 1
         depth = max(0, math.ceil(math.log2(max(1, rows) / leaf)))
-        self.depth, self.groups, self.size = depth, groups, size
+        self.depth, self.size = depth, size
         self.order = self._split(offsets, terms, values.astype(np.float64), depth)
         length = np.diff(offsets)[self.order]
         self.offsets = np.concatenate(([0], np.cumsum(length)))
@@ -176,7 +176,7 @@ class BallTree:
         n_nodes = (2 << depth) - 1
         self.start, self.end = np.zeros(n_nodes, np.int64), np.zeros(n_nodes, np.int64)
         self.centroid = np.zeros((n_nodes, size))
-        self.radius, self.spread = np.zeros(n_nodes), np.zeros((n_nodes, groups))
+        self.radius, self.most = np.zeros(n_nodes), np.zeros((n_nodes, size), np.int64)
         for level in range(depth + 1):
             first, n = (1 << level) - 1, 1 << level
             edge = np.arange(n + 1) * rows // n
@@ -220,7 +220,7 @@ class BallTree:
         return order
 
     def _balls(self, first: int, edge: np.ndarray, row_of: np.ndarray) -> None:
-        """Centroids and radii of the nodes of one level, rounded up."""
+        """Centroids, radii and greatest entries of the nodes of one level, rounded up."""
         n, rows = len(edge) - 1, len(self.order)
         node_of = np.repeat(np.arange(n), np.diff(edge))
         values = self.values.astype(np.float64)
@@ -228,34 +228,24 @@ class BallTree:
         centre = np.bincount(cell, values, n * self.size).reshape(n, self.size)
         centre /= np.diff(edge)[:, None]
         self.centroid[first : first + n] = centre
-        group = np.arange(self.size) % self.groups
-        whole = np.array([np.bincount(group, c * c, self.groups) for c in centre])
-        entry = values * (values - 2 * centre.reshape(-1)[cell])
-        at = row_of * self.groups + self.terms % self.groups
-        squares = np.bincount(at, entry, rows * self.groups).reshape(rows, self.groups)
-        squares += whole[node_of]
-        margin = MARGIN * (np.bincount(row_of, values * values, rows) + whole.sum(1)[node_of])
-        far = squares.sum(1) + margin
-        squares += margin[:, None]
-        starts = edge[:-1]
-        self.radius[first : first + n] = np.sqrt(np.maximum.reduceat(far, starts).clip(0))
-        self.spread[first : first + n] = np.sqrt(np.maximum.reduceat(squares, starts).clip(0))
+        np.maximum.at(self.most[first : first + n].reshape(-1), cell, self.values)
+        whole = (centre * centre).sum(1)[node_of]
+        far = whole + np.bincount(row_of, values * (values - 2 * centre.reshape(-1)[cell]), rows)
+        far += MARGIN * (np.bincount(row_of, values * values, rows) + whole)
+        self.radius[first : first + n] = np.sqrt(np.maximum.reduceat(far, edge[:-1]).clip(0))
 
     def bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """For each node a number that no inner product with one of its rows exceeds."""
-        square = weights * weights
-        norm = np.sqrt(square.sum())
-        by_group = np.sqrt(np.bincount(terms % self.groups, square, self.groups))
-        middle = self.centroid[:, terms] @ weights
-        off = np.minimum(norm * self.radius, self.spread @ by_group)
-        return (middle + off) * (1 + MARGIN) + 1
+        norm = math.sqrt(float((weights.astype(np.float64) ** 2).sum()))
+        ball = (self.centroid[:, terms] @ weights + norm * self.radius) * (1 + MARGIN) + 1
+        return np.minimum(ball, self.most[:, terms] @ weights)
 
     def search(
         self, terms: np.ndarray, weights: np.ndarray, least: int, offer
     ) -> tuple[int, int]:
         """Calls ``offer(rows, scores)`` for the rows of leaves that may hold a score of
         ``least`` or more; it returns the new ``least``. Gives leaves scored, and all."""
-        bound = self.bounds(terms, weights.astype(np.float64))
+        bound = self.bounds(terms, weights)
         dense = np.zeros(self.size, np.int64)
         dense[terms] = weights
         heap, leaves = [(-bound[0], 0)], 0

@@ -116,7 +116,7 @@ def test_tree_bounds_and_pruning():
         own = np.unique(rng.integers(k * 15, k * 15 + 12, 8))
         weights = rng.integers(0, 8000, len(own))
         scores = dense[:, own] @ weights
-        bound = tree.bounds(own, weights.astype(float))
+        bound = tree.bounds(own, weights)
         for node in range(len(bound)):
             assert scores[tree.order[tree.start[node] : tree.end[node]]].max() <= bound[node]
         best = balltree.Best(10, 1)
