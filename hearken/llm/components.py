@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from hearken.llm.common import stored
 
+#: Links of one file of a step, and files at least.
+FILE_LINKS, FEWEST_FILES = 1_000_000, 8
+
 
 def _star(neighbours: DataFrame) -> DataFrame:
     """Per node of ``u, v`` its least neighbour or itself, joined back to the links."""
@@ -28,13 +31,13 @@ def connected_components(links: DataFrame) -> DataFrame:
         high.alias("u"), low.alias("v")
     )
     edges = stored(edges.distinct(), "links")
-    before = None
+    before, files = None, max(FEWEST_FILES, -(-edges.count() // FILE_LINKS))
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.distinct()
         small = _star(large).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        edges = stored(small.where("u <> v").distinct(), "links")
+        edges = stored(small.where("u <> v").distinct().coalesce(files), "links")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
