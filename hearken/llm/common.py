@@ -95,6 +95,8 @@ def in_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFram
     names = df.columns
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return run(batch.rename_columns(names) for batch in batches)
+        yield from run(batch.rename_columns(names) for batch in batches)
+        # workers live on after a task; what its batches took goes back
+        pa.default_memory_pool().release_unused()
 
     return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(named, schema)

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text hashed at once; a longer single text is hashed alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _C = np.uint64(0xC2B2AE3D27D4EB4F)

@@ -1,16 +1,17 @@
 """Token counts and token ids by a public tokenizer, with lookups instead of encoding.
 
-The byte-level vocabulary never merges over white space, so a text's tokens are those
-of its pieces between single spaces and line ends. Pieces repeat, so each worker keeps
-a table of the pieces it has met (bounded; begun anew when full) and encodes only misses,
-many in one call of the library, a word and the punctuation behind it apart. A text with anything else between its words (runs of
-white space, other white space, strings like those of special tokens) is encoded whole
-by the library, so results never depend on this shortcut.
+The byte-level vocabulary never merges over a space, a line end, or from a letter to the
+punctuation behind it, so a text's tokens are those of its pieces between these places. Pieces
+repeat, so each worker keeps a table of the pieces it has met (by a 64-bit hash of their
+bytes; bounded, begun anew when full) and encodes only misses, many in one call of the
+library. Texts are cut, hashed, looked up and put together as arrays, many at a time. A
+text with anything else between its words (runs of white space, other white space, strings
+like those of special tokens) is encoded whole by the library, so results never depend
+on this shortcut.
 """
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import uuid
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearken.llm.common import in_arrow, query, table
+from hearken.llm.hashing import word_hashes
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces in the broadcast table, and the rows of text it is drawn from. Both only
@@ -31,17 +33,13 @@ VOCABULARY = "byte_bpe_50k.json"
 FREQUENT_PIECES = 60_000
 FREQUENT_ROWS = 20_000
 SAMPLED_TASKS = 32
-#: Pieces a worker keeps besides, in a table that fills and the one before it.
-CACHE_PIECES = 800_000
-#: Texts handled together.
-GROUP = 256
+#: Pieces a worker keeps, and slots of their table, as a power of two.
+CACHE_PIECES, TABLE_BITS = 1_500_000, 22
+#: Texts handled together, and characters or bytes of them that are cut and looked up at once.
+GROUP, PART_BYTES = 256, 1 << 19
 
 _UNEVEN = re.compile(r"\s{2}|[^\S \n]|<\|")
 _PAIRS = ("  ", "\n\n", " \n", "\n ", "<|")
-#: A word of Latin letters with punctuation behind it; the vocabulary never joins the two.
-_PLAIN = re.compile("(\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~]{1,4})")
-
-
 def uneven(text: str) -> bool:
     """Whether white space is anything but single spaces and single line ends, or a special
     token may begin. All other white space is not printable, so most texts need no search."""
@@ -56,18 +54,79 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+_BREAKS = np.zeros(256, bool)
+_BREAKS[[0x0A, 0x20]] = True
+_LETTERS = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_SIGNS = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
+
+
+def cut(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces of ``data``, which begins with a line end: at each space or
+    line end, and where a sign follows an ASCII letter."""
+    byte = np.frombuffer(data, np.uint8)
+    begins = _BREAKS[byte]
+    begins[1:] |= _SIGNS[byte[1:]] & _LETTERS[byte[:-1]]
+    start = np.flatnonzero(begins)
+    return start, np.append(start[1:], len(data))
+
+
 def text_pieces(text: str) -> list[str] | None:
-    """Pieces of a line end followed by ``text``: a piece is what follows a space, or a
-    line end with what follows it. None if white space is uneven."""
+    """Pieces of a line end followed by ``text``. None if white space is uneven."""
     if uneven(text):
         return None
-    return ("\n" + text).replace("\n", " \n").split(" ")[1:]
+    data = ("\n" + text).encode()
+    return [data[a:b].decode() for a, b in zip(*(x.tolist() for x in cut(data)), strict=True)]
+
+
+class PieceTable:
+    """Open addressing by hash: where a piece's ids start in ``pool``, and how many they are."""
+
+    def __init__(self, bits: int) -> None:
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.start, self.length = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.used = self.entries = 0
+
+    def slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slot of each key, or the free one where it would go, and whether it is there."""
+        slot = (keys >> self.shift).astype(np.int64)
+        found = self.keys[slot] == keys
+        open_ = np.flatnonzero(~found & (self.keys[slot] != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.mask
+            held = self.keys[slot[open_]]
+            found[open_] = held == keys[open_]
+            open_ = open_[(held != 0) & (held != keys[open_])]
+        return slot, found
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        """Distinct new keys; ``ids`` (empty if only lengths count) of one follow another's."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(max(len(ids), len(self.pool)), np.uint32)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        start = self.used + np.cumsum(length) - length
+        left = np.arange(len(keys))
+        while len(left):  # of keys that want one free slot the last gets it
+            slot, _ = self.slots(keys[left])
+            self.keys[slot] = keys[left]
+            won = self.keys[slot] == keys[left]
+            at = left[won]
+            self.start[slot[won]], self.length[slot[won]] = start[at], length[at]
+            left = left[~won]
+        self.used += len(ids)
+        self.entries += len(keys)
+
+    def ids(self, slot: np.ndarray) -> np.ndarray:
+        length = self.length[slot].astype(np.int64)
+        at = np.repeat(self.start[slot] - (np.cumsum(length) - length), length)
+        return self.pool[at + np.arange(len(at))]
 
 
 class PieceEncoder:
     """Ids (as bytes of little-endian unsigned 32-bit integers) or counts of texts."""
 
-    def __init__(self, path: str, counts: bool, frequent: dict | None = None) -> None:
+    def __init__(self, path: str, counts: bool, frequent: dict[str, int] | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,103 +136,133 @@ class PieceEncoder:
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.opens[i] = token.startswith("Ġ")
-        self.line_end = self._ids("\n")
-        self.frequent = frequent or {}
-        self.tails: dict = {}
-        self.known: dict = {}
-        self.before: dict = {}
+        self.line_end = self._ids(["\n"])[0]
+        # lengths of frequent pieces come with the job; ids are always learned here
+        self.frequent = frequent if counts and frequent else {}
         self._reset()
 
-    def _ids(self, text: str) -> np.ndarray:
-        found = self.library.encode_batch_fast([text], add_special_tokens=False)
-        return np.array(found[0].ids, np.uint32)
-
-    def _value(self, ids: np.ndarray):
-        return len(ids) if self.counts else ids.tobytes()
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(f.ids, np.uint32) for f in found]
 
     def _reset(self) -> None:
-        """Start a new table; the last one still serves until the next."""
-        self.before, self.known = self.known, dict(self.frequent)
-        self.known["\n"] = self._value(self.line_end)
-        self.known[""] = self._value(self._ids(" "))
-
-    def _encode(self, pieces: list[str], joiner: str) -> None:
-        """Learn pieces in one call: each starts with a token that no piece has inside."""
-        ids = self._ids(joiner + joiner.join(p.removeprefix("\n") for p in pieces))
-        start = np.flatnonzero(self.opens[ids] if joiner == " " else ids == self.line_end[0])
-        if len(start) != len(pieces) or start[0]:
-            found = [self._value(self._ids(joiner + p.removeprefix("\n"))) for p in pieces]
-        elif self.counts:
-            found = np.diff(start, append=len(ids)).tolist()
-        else:
-            data, edges = ids.tobytes(), (4 * start).tolist()
-            found = [data[a:b] for a, b in zip(edges, [*edges[1:], len(data)], strict=True)]
-        self.known.update(zip(pieces, found, strict=True))
-
-    def _tail(self, tail: str):
-        if tail not in self.tails:
-            if len(self.tails) > 10_000:
-                self.tails.clear()
-            self.tails[tail] = self._value(self._ids(tail))
-        return self.tails[tail]
-
-    def learn(self, missing: set[str]) -> None:
-        known, before = self.known, self.before
-        again = missing & before.keys()
-        known.update((p, before[p]) for p in again)
-        plain = [m for m in map(_PLAIN.fullmatch, missing - again) if m]
-        wanted = missing - again
-        wanted.difference_update([m[0] for m in plain])
-        words = {m[1] for m in plain}.difference(known)
-        again = words & before.keys()
-        known.update((w, before[w]) for w in again)
-        wanted |= words - again
-        spaced = [p for p in wanted if p[:1] != "\n"]
-        lines = [p for p in wanted if p[:1] == "\n"]
-        for pieces, joiner in ((spaced, " "), (lines, "\n")):
-            for i in range(0, len(pieces), 4096):
-                self._encode(pieces[i : i + 4096], joiner)
-        tail = self._tail
-        known.update((m[0], known[m[1]] + tail(m[2])) for m in plain)
-
-    def _whole(self, text: str):
-        return self._value(self._ids(text))
-
-    def _look_up(self, pieces: list[str]):
-        get = self.known.__getitem__
-        if self.counts:
-            return sum(map(get, pieces)) - len(self.line_end)
-        return b"".join(map(get, pieces))[4 * len(self.line_end) :]
+        self.table = PieceTable(TABLE_BITS)
+        if self.frequent:
+            pieces = [p.encode() for p in self.frequent]
+            keys, first = np.unique(_piece_keys(b"".join(pieces), *_edges(pieces)), return_index=True)
+            length = np.array(list(self.frequent.values()), np.int64)[first]
+            self.table.add(keys, np.zeros(0, np.uint32), length)
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        """Encode new pieces and enter them. Those after a space, and those after a line end, are
+        encoded in one run: each starts with a token that no piece has inside."""
+        for first, starts in (" ", lambda ids: self.opens[ids]), ("\n", lambda ids: ids == self.line_end[0]):
+            own = [k for k, p in enumerate(pieces) if p[0] == first]
+            for a in range(0, len(own), 4096):
+                part = own[a : a + 4096]
+                ids = self._ids(["".join([pieces[k] for k in part])])[0]
+                at = np.flatnonzero(starts(ids))
+                if len(at) == len(part) and not at[0]:
+                    self._enter(keys[part], ids, np.diff(at, append=len(ids)))
+                else:
+                    self._enter_each(keys[part], [pieces[k] for k in part])
+        signs = [k for k, p in enumerate(pieces) if p[0] not in " \n"]
+        if signs:
+            self._enter_each(keys[signs], [pieces[k] for k in signs])
+
+    def _enter_each(self, keys: np.ndarray, pieces: list[str]) -> None:
+        found = self._ids(pieces)
+        self._enter(keys, np.concatenate(found), np.array([len(f) for f in found]))
+
+    def _enter(self, keys: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        self.table.add(keys, ids[:0] if self.counts else ids, length)
+
+    def lengths(self, pieces: list[str]) -> list[int]:
+        """Numbers of tokens of pieces."""
+        data = [p.encode() for p in pieces]
+        slot = self._look_up(b"".join(data), *_edges(data))
+        return self.table.length[slot].tolist()
+
+    def _look_up(self, data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        keys = _piece_keys(data, start, end)
+        slot, found = self.table.slots(keys)
+        if not found.all():
+            new, at = np.unique(keys[~found], return_index=True)
+            a, b = start[~found][at].tolist(), end[~found][at].tolist()
+            self._learn(new, [data[i:j].decode() for i, j in zip(a, b, strict=True)])
+            slot, _ = self.table.slots(keys)
+        return slot
 
     def encode(self, texts: list[str]) -> list:
-        """Value of each text. Nothing here forms cycles, so the collector rests meanwhile; it
-        would walk the lists of pieces again and again."""
-        gc.disable()
-        try:
-            return self._encode_all(texts)
-        finally:
-            gc.enable()
-
-    def _encode_all(self, texts: list[str]) -> list:
-        out: list = [None] * len(texts)
-        waiting: dict[int, list[str]] = {}
+        """Value of each text."""
+        if self.table.entries > CACHE_PIECES + len(self.frequent):
+            self._reset()
+        out: list = [0 if self.counts else b""] * len(texts)
+        held: list[tuple[int, bytes]] = []
+        odd: set[int] = set()
+        size = 0
         for i, text in enumerate(texts):
-            pieces = text_pieces(text)
-            if pieces is None:
-                out[i] = self._whole(text)
+            if uneven(text):
+                odd.add(i)
+                ids = self._ids([text])[0]
+                out[i] = len(ids) if self.counts else ids.tobytes()
                 continue
-            try:
-                out[i] = self._look_up(pieces)
-            except KeyError:
-                waiting[i] = pieces
-        if waiting:
-            if len(self.known) > CACHE_PIECES // 2 + len(self.frequent):
-                self._reset()
-            self.learn(set().union(*waiting.values()).difference(self.known))
-            for i, pieces in waiting.items():
-                out[i] = self._look_up(pieces)
+            for part in _parts("\n" + text):
+                held.append((i, part))
+                size += len(part)
+                if size > PART_BYTES:
+                    self._add_values(held, out)
+                    held, size = [], 0
+        self._add_values(held, out)
+        for i in range(len(texts)):
+            if i not in odd:  # the line end put before it
+                out[i] = out[i] - len(self.line_end) if self.counts else out[i][4 * len(self.line_end) :]
         return out
 
+    def _add_values(self, held: list[tuple[int, bytes]], out: list) -> None:
+        """Add the values of parts of texts, each beginning with a piece, to their texts'."""
+        if not held:
+            return
+        parts = [part for _, part in held]
+        data = b"".join(parts)
+        start, end = cut(data)
+        slot = self._look_up(data, start, end)
+        before = np.concatenate(([0], np.cumsum(self.table.length[slot], dtype=np.int64)))
+        first = np.searchsorted(start, _edges(parts)[0])
+        a, b = before[first], before[np.append(first[1:], len(start))]
+        if self.counts:
+            for (i, _), n in zip(held, (b - a).tolist(), strict=True):
+                out[i] += n
+            return
+        ids = self.table.ids(slot).astype("<u4").tobytes()
+        for (i, _), x, y in zip(held, (4 * a).tolist(), (4 * b).tolist(), strict=True):
+            out[i] = out[i] + ids[x:y] if out[i] else ids[x:y]
+
+
+def _parts(text: str) -> Iterator[bytes]:
+    """A text that begins with a line end, in parts that begin with a space or line end each."""
+    at = 0
+    while len(text) - at > PART_BYTES:
+        stop = max(text.rfind(c, at + 1, at + PART_BYTES) for c in " \n")
+        if stop < 0:
+            later = [x for x in (text.find(c, at + 1) for c in " \n") if x > 0]
+            if not later:
+                break
+            stop = min(later)
+        yield text[at:stop].encode()
+        at = stop
+    yield text[at:].encode()
+
+
+def _edges(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    end = np.cumsum([len(p) for p in parts])
+    return end - [len(p) for p in parts], end
+
+
+def _piece_keys(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of pieces, never 0."""
+    return np.maximum(word_hashes(data, start, end), np.uint64(1))
+
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
@@ -223,9 +312,8 @@ def _frequent_pieces(docs: DataFrame, path: str, rows: int, keep: int) -> dict[s
         .limit(keep)
         .collect()
     )
-    encoder = PieceEncoder(path, counts=True)
-    encoder.learn({r["piece"] for r in top} - encoder.known.keys())
-    return {r["piece"]: encoder.known[r["piece"]] for r in top}
+    pieces = [r["piece"] for r in top]
+    return dict(zip(pieces, PieceEncoder(path, counts=True).lengths(pieces), strict=True))
 
 
 def count_tokens(
