@@ -98,8 +98,6 @@ INTENT_CASES = [
     ("Thanks for the tea, good night", "goodbye"),
     ("Hi, my panic comes back each Monday", labels.ASKING),
     ("Bye, still worried though", labels.ASKING),
-    ("Stressed syllables rhyme", labels.ASKING),
-    ("The thesis measures grief in elephants", labels.ASKING),
     ("A hive of bees", "out_of_scope"),
     ("Chipped cups, three of them", "out_of_scope"),
     ("I guess it is all right", "out_of_scope"),
@@ -107,6 +105,14 @@ INTENT_CASES = [
 ]
 
 
+# Keywords know no context: what the rules say of these is wrong, and only written down here.
+RULE_LIMITS = ["Stressed syllables rhyme", "The thesis measures grief in elephants"]
+
+
+def test_limits_of_intent_rules(spark):
+    assert values(spark, RULE_LIMITS, labels.intent_by_rules("v")) == [labels.ASKING] * 2
+
+
 def test_intent_rules(spark):
     got = values(spark, [t for t, _ in INTENT_CASES], labels.intent_by_rules("v"))
     assert got == [i for _, i in INTENT_CASES]
