@@ -82,11 +82,14 @@ class PieceTable:
     """Open addressing by hash: where a piece's ids start in ``pool``, and how many they are."""
 
     def __init__(self, bits: int) -> None:
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys = np.zeros(1 << bits, np.uint64)
-        self.start, self.length = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = self.entries = 0
+        self._clear(bits)
+
+    def _clear(self, bits: int) -> None:
+        self.bits, self.shift, self.mask = bits, np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.start, self.length = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
 
     def slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Slot of each key, or the free one where it would go, and whether it is there."""
@@ -105,7 +108,16 @@ class PieceTable:
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros(max(len(ids), len(self.pool)), np.uint32)))
         self.pool[self.used : self.used + len(ids)] = ids
-        start = self.used + np.cumsum(length) - length
+        if 2 * (self.entries + len(keys)) > self.mask:
+            old = np.flatnonzero(self.keys)
+            known = self.keys[old], self.start[old], self.length[old]
+            self._clear((2 * (self.entries + len(keys))).bit_length() + 1)
+            self._insert(*known)
+        self._insert(keys, self.used + np.cumsum(length) - length, length)
+        self.used += len(ids)
+        self.entries += len(keys)
+
+    def _insert(self, keys: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
         left = np.arange(len(keys))
         while len(left):  # of keys that want one free slot the last gets it
             slot, _ = self.slots(keys[left])
@@ -114,8 +126,6 @@ class PieceTable:
             at = left[won]
             self.start[slot[won]], self.length[slot[won]] = start[at], length[at]
             left = left[~won]
-        self.used += len(ids)
-        self.entries += len(keys)
 
     def ids(self, slot: np.ndarray) -> np.ndarray:
         length = self.length[slot].astype(np.int64)
@@ -195,8 +205,6 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list:
         """Value of each text."""
-        if self.table.entries > CACHE_PIECES + len(self.frequent):
-            self._reset()
         out: list = [0 if self.counts else b""] * len(texts)
         held: list[tuple[int, bytes]] = []
         odd: set[int] = set()
@@ -223,6 +231,8 @@ class PieceEncoder:
         """Add the values of parts of texts, each beginning with a piece, to their texts'."""
         if not held:
             return
+        if self.table.entries > CACHE_PIECES + len(self.frequent):
+            self._reset()
         parts = [part for _, part in held]
         data = b"".join(parts)
         start, end = cut(data)

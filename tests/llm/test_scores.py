@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from hearken.llm import language, toxicity
+from hearken.llm import language, tokens, toxicity
 
 
 def brute_mixture(p, of, n):
@@ -105,3 +105,22 @@ def test_matching_equals_a_scan_of_all_entries():
         lexicon = toxicity.Lexicon(entries, exceptions)
         words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 40))]
         assert lexicon.matched(words) == pytest.approx(brute_matched(entries, exceptions, words))
+
+
+@pytest.mark.parametrize(("pieces", "bits", "part"), [(1_500_000, 22, 1 << 19), (40, 3, 16)])
+def test_pieces_give_the_library_s_tokens(monkeypatch, pieces, bits, part):
+    for name, value in (("CACHE_PIECES", pieces), ("TABLE_BITS", bits), ("PART_BYTES", part)):
+        monkeypatch.setattr(tokens, name, value)
+    rng = random.Random(1)
+    odd = [
+        "", " ", "\n", "a", " a", "a ", "\na\n", "don't", "x,y .z", "é, ö. “q”, ñ'", "ab,,, !!a", "word—, — w",
+        "A" * 3000, "漢字" * 900 + " x", "a'b c's 'tis 're", "1,2 3.4 a1,b2 ", "x\xa0y", "t\tt", "two  ",
+        "<|endoftext|>", "a<b |c|", "é, á.", "_a_, a_b", "ª, º. µ,", "a\x00b", "a,b" * 500,
+    ]
+    made = ["".join(rng.choices("abé ,.'\n1", k=rng.randint(0, 120))) for _ in range(200)]
+    ids = tokens.PieceEncoder(tokens.tokenizer_path(), False)
+    counts = tokens.PieceEncoder(tokens.tokenizer_path(), True, {" a": 1, ",": 1})
+    texts = odd + made + odd
+    for text, own, n in zip(texts, ids.encode(texts), counts.encode(texts), strict=True):
+        want = ids.library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own, "<u4").tolist() == want and n == len(want)
