@@ -27,7 +27,7 @@ from hearken.llm.common import in_arrow, query, stored, table
 #: Conversations of one hundred share up to five turns of their first.
 GROUP, HEADS = 100, 6
 #: Distinct sequences of one shard, and upper nodes, at most.
-SHARD_SEQUENCES = 2000
+SHARD_SEQUENCES = 200
 MOST_UPPER = 200_000
 #: Ids of one slice of equal conversations, as a power of two.
 SLICE_BITS = 12
