@@ -78,7 +78,7 @@ def brute_lower(text):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for n in ("documents", "benchmark", "labels"):
+    for n in ("documents", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {n} AS SELECT * FROM '{DATA}/{n}.parquet'")
     df = registry.QUERIES[name](spark, str(DATA))
     columns = sorted(df.columns)
