@@ -30,8 +30,7 @@ def text_lines(text: Column) -> Column:
 def _hashes(lines: Column, min_chars: int) -> Column:
     """Per line its position and two hashes of its key; lines with shorter keys are left out."""
 
-    def hashed(line: Column, at: Column) -> Column:
-        key = line_key(line)
+    def hashed(key: Column, at: Column) -> Column:
         return F.struct(
             F.xxhash64(key).alias("h"),
             F.xxhash64(F.lit(1), key).alias("g"),
@@ -39,7 +38,9 @@ def _hashes(lines: Column, min_chars: int) -> Column:
             (F.length(key) >= min_chars).alias("long_enough"),
         )
 
-    return F.filter(F.transform(lines, hashed), lambda x: x["long_enough"])
+    # An array of its own for the keys: inside one lambda each of the three uses makes the key again.
+    keys = F.transform(lines, line_key)
+    return F.filter(F.transform(keys, hashed), lambda x: x["long_enough"])
 
 
 def _once(hashes: Column) -> Column:

@@ -597,3 +597,13 @@ def test_pipeline_of_odd_rows(spark, odd, none, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.stored(stage(spark, docs, str(tmp_path)), "stage")
         assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_key_of_a_line_is_made_once(spark):
+    from hearken.llm.lines import _hashes, text_lines
+
+    docs = spark.createDataFrame([(" Ab \nab\n",)], "text string")
+    found = docs.select(_hashes(text_lines(F.col("text")), 1).alias("k"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+    keys = found.first()["k"]
+    assert [k["at"] for k in keys] == [0, 1] and keys[0]["h"] == keys[1]["h"]
