@@ -210,3 +210,25 @@ def test_large_groups_shuffle_vectors_once(spark):
         assert [r[:3] for r in got] == [r[:3] for r in whole]
         # what is left to run reads packed slices: no exchange stands below the pass over them
         assert "FlatMapGroupsInArrow" not in plan.split("MapInArrow")[-1]
+
+
+def test_scores_come_in_bounded_slices(clumped):
+    got = list(retrieval.score_slices(clumped, clumped[:50], held=175))
+    assert [q for q, _ in got] == list(range(len(clumped)))
+    assert np.allclose(np.stack([row for _, row in got]), np.round(clumped @ clumped[:50].T, 6))
+    assert all(row.base.size <= 175 for _, row in got)
+    assert list(retrieval.score_slices(clumped[:0], clumped)) == []
+
+
+def test_probing_rows_come_in_bounded_batches(spark, monkeypatch, clumped):
+    monkeypatch.setattr(ivf, "HELD_SCORES", 30)
+    monkeypatch.setattr(retrieval, "HELD_SCORES", 64)
+    index = ivf.build_index(frame(spark, clumped), n_cells=5, doc_id="vec_id")
+    asked = retrieval._prepared(frame(spark, clumped), "vec_id", "embedding", "query_id", F.lit(2).alias("k"))
+    assert dict(asked.dtypes)["vector"] == "array<float>"
+    batches = list(ivf._probes(index, 3)(iter(asked.toArrow().to_batches())))
+    assert max(b.num_rows for b in batches) <= 8
+    take = min(3, int((index.size > 0).sum()))
+    assert sum(b.num_rows for b in batches) == take * len(clumped)
+    pairs = {(q, c) for b in batches for q, c in zip(b["query_id"].to_pylist(), b["cell"].to_pylist(), strict=True)}
+    assert len(pairs) == take * len(clumped)
