@@ -27,6 +27,11 @@ def clean_text(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(_col(c)), SPACES, " "))
 
 
+def one_blank(lowered: str | None) -> str:
+    """``clean_text`` of a lower-cased text, inside tasks: ``split`` cuts at the same characters."""
+    return " ".join((lowered or "").split())
+
+
 def strip(c: Column | str) -> Column:
     """Remove Unicode white space at both ends."""
     return F.regexp_replace(_col(c), rf"\A{SPACES}|{SPACES}\z", "")

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from hearken.functions.text import clean_text, one_blank
 from hearken.operators import groups, metrics, profile, routing, sessions, sketches, skew, tfidf
 
 
@@ -335,3 +336,62 @@ def test_last_attempt_that_says_something_counts(spark):
     assert got == {"a": "apple", "b": "", "c": None, "d": None}
     untimed = {r.request_id: r.reply for r in routing.join_replies(asked, replies.drop("attempt")).collect()}
     assert untimed == got
+
+
+def _brute_grams(texts):
+    return [Counter(t[a : a + n] for n in range(1, 6) for a in range(len(t) - n + 1)) for t in texts]
+
+
+@pytest.mark.parametrize("most", [1 << 62, 1 << 40, 1 << 14])
+def test_grams_of_a_block(monkeypatch, most):
+    monkeypatch.setattr(tfidf, "MOST", most)  # small: numbers are given anew, places are sorted
+    texts = ["", "a", "ab ab", "", "é漢😀é漢😀x", "ab", "".join(map(chr, range(200, 9000))), "aaaaaaa", "b"]
+    block = tfidf.Block(texts)
+    got = [Counter() for _ in texts]
+    for g in block.grams():
+        grams = block.texts(g.start, g.length).to_pylist()
+        assert len(set(grams)) == len(grams)
+        for row, rank, tf in zip(g.row, g.rank, g.tf, strict=True):
+            got[row][grams[rank]] += int(tf)
+    assert got == _brute_grams(texts)
+    assert list(tfidf.Block(["", ""]).grams()) == []
+
+
+def test_char_tfidf_of_many_blocks(spark, monkeypatch):
+    data = [(i % 17 if i % 5 else None, f"Wort {i % 7}  und\t{'x' * (i % 4)}é漢 ") for i in range(60)]
+    data += [(100, None), (101, ""), (102, " \n"), (103, "q")]
+    texts = [" ".join((t or "").lower().split()) for _, t in data]
+    df = Counter(g for c in _brute_grams(texts) for g in c)
+    n = sum(t is not None for _, t in data)
+    rows, square = [], Counter()
+    for (i, _), c in zip(data, _brute_grams(texts), strict=True):
+        for g, tf in c.items():
+            if df[g] >= 2:
+                w = tf * (math.log((1 + n) / (1 + df[g])) + 1)
+                rows.append((i, g, tf, w))
+                square[i] += w * w
+    want = sorted((str(i), g, tf, round(w, 9), round(w / math.sqrt(square[i]), 9)) for i, g, tf, w in rows)
+    monkeypatch.setattr(tfidf, "BLOCK_CHARS", 100)  # eight blocks
+    frame = spark.createDataFrame(data, "id int, text string")
+    for limit in (2, 1000):  # hot grams in slices, and none
+        found = tfidf.char_tfidf(frame, "id", rows_per_slice=limit).collect()
+        assert sorted((str(r.id), r.gram, r.tf, round(r.weight, 9), round(r.unit_weight, 9)) for r in found) == want
+    assert tfidf.char_tfidf(frame.where("false"), "id").collect() == []
+
+
+def test_char_tfidf_moves_no_gram_by_document(spark):
+    """Grams move by their text and by block; 300 copies in one block make one row a gram."""
+    frame = spark.createDataFrame([(i, "the same words") for i in range(300)], "id long, text string")
+    found = tfidf.char_tfidf(frame, "id")
+    assert found.count() == 300 * len(_brute_grams(["the same words"])[0])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_block" in plan and "hashpartitioning(id" not in plan
+
+
+def test_one_blank_is_clean_text(spark):
+    spaces = [chr(c) for c in range(0x3100) if chr(c).isspace()] + ["​", "﻿", "\x00", "᠎"]
+    texts = [f"{s}A{s}{s} İß{s}Σ{s}" for s in spaces] + ["", " ", "a"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        F.lower("t").alias("low"), clean_text("t").alias("clean")
+    )
+    assert all(one_blank(r.low) == r.clean for r in rows.collect())
