@@ -37,7 +37,7 @@ DIGITS = 6
 SLICE_ROWS = 4096
 CENTRE_BYTES = 64 << 20
 
-PACKED = "group_id long, width int, ids binary, vectors binary, races binary"
+PACKED = "group_id long, slice int, width int, ids binary, vectors binary, races binary"
 PICKS = "group_id long, cluster int, pair_id long, score double"
 
 
@@ -155,17 +155,23 @@ def _large_groups(rows: DataFrame, keep: int, group_rows: int, max_rounds: int)
 
     A slice of a group is one stored row with its vectors, ids and variates as matrices.
     Each round reads the slices where they lie, with the centres broadcast, and only sums
-    move. Groups whose centres stand still leave. Groups are taken together as long as
-    their centres fit ``CENTRE_BYTES``.
+    move. Slices are stored in order of their groups: few tasks have a part of one group, so
+    their sums go straight to the driver, and a round is one stage. Groups whose centres stand still leave.
+    Groups are taken together as long as their centres fit ``CENTRE_BYTES``.
     """
     spark = rows.sparkSession
     size = min(group_rows, SLICE_ROWS)
     slices = F.ceil(F.col("n") / size).cast("int")
-    blocks = store(
-        rows.withColumn("slice", F.pmod(F.xxhash64("pair_id"), slices))
+    packed = store(
+        rows.withColumn("slice", F.pmod(F.xxhash64("pair_id"), slices).cast("int"))
         .groupBy("group_id", "slice")
         .applyInArrow(_pack, PACKED),
-        "slices",
+        "packed",
+    )
+    tasks = max(spark.sparkContext.defaultParallelism, packed.rdd.getNumPartitions())
+    order = ["group_id", "slice"]
+    blocks = store(
+        packed.repartitionByRange(tasks, *order).sortWithinPartitions(*order), "slices"
     )
     counted = blocks.agg(F.count_distinct("group_id"), F.max("width")).first()
     rounds = max(1, -(-counted[0] * keep * (counted[1] or 1) * 8 // CENTRE_BYTES))
@@ -189,6 +195,7 @@ def _pack(rows: pa.Table) -> pa.Table:
     return pa.table(
         {
             "group_id": rows["group_id"].slice(0, 1),
+            "slice": rows["slice"].slice(0, 1),
             "width": pa.array([x.shape[1]], pa.int32()),
             "ids": packed(rows["pair_id"].to_numpy()),
             "vectors": packed(x),
@@ -198,12 +205,25 @@ def _pack(rows: pa.Table) -> pa.Table:
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]):
-    """Group, vectors, ids and variates of each slice."""
+    """Group, vectors, ids and variates; short slices of a group that follow each other as one."""
+    group, held, n = None, [], 0
     for batch in batches:
-        for r in batch.to_pylist():
-            ids = np.frombuffer(r["ids"], np.int64)
-            x = np.frombuffer(r["vectors"]).reshape(len(ids), r["width"])
-            yield r["group_id"], x, ids, np.frombuffer(r["races"]).reshape(len(ids), -1)
+        columns = [batch.column(c) for c in ("group_id", "width", "ids", "vectors", "races")]
+        for at in range(batch.num_rows):
+            own, width, ids, x, races = (c[at] for c in columns)
+            ids = np.frombuffer(ids.as_buffer(), np.int64)
+            if held and (own.as_py() != group or n + len(ids) > SLICE_ROWS):
+                yield group, *_joined(held)
+                held, n = [], 0
+            x = np.frombuffer(x.as_buffer()).reshape(len(ids), width.as_py())
+            held.append((x, ids, np.frombuffer(races.as_buffer()).reshape(len(ids), -1)))
+            group, n = own.as_py(), n + len(ids)
+    if held:
+        yield group, *_joined(held)
+
+
+def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    return parts[0] if len(parts) == 1 else tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
 def _highest(blocks: DataFrame, score, centres: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
@@ -228,25 +248,20 @@ def _highest(blocks: DataFrame, score, centres: dict[int, np.ndarray]) -> dict[i
             names=["group_id", "score", "order", "vector"],
         )
 
+    top: dict[int, tuple] = {}
     found = blocks.mapInArrow(run, "group_id long, score double, order long, vector binary")
-    rows = found.groupBy("group_id").agg(F.max_by("vector", F.struct("score", "order")).alias("v"))
-    out = {r["group_id"]: np.frombuffer(r["v"]) for r in rows.collect()}
+    for r in found.collect():
+        if r["group_id"] not in top or (r["score"], r["order"]) > top[r["group_id"]][:2]:
+            top[r["group_id"]] = (r["score"], r["order"], np.frombuffer(r["vector"]))
     shared.destroy()
-    return out
+    return {g: v for g, (_, _, v) in top.items()}
 
 
-def _cluster_sums(blocks: DataFrame, centres: dict[int, np.ndarray]) -> list:
-    """(group_id, cluster, n, sums): added up in each task, then over all."""
+def _cluster_sums(
+    blocks: DataFrame, centres: dict[int, np.ndarray]
+) -> dict[tuple[int, int], tuple[int, np.ndarray]]:
+    """Rows and sums of each (group, cluster): added up in each task, then over all."""
     shared = blocks.sparkSession.sparkContext.broadcast(centres)
-    schema = "group_id long, cluster int, n long, sums binary"
-
-    def rows(sums: dict[tuple[int, int], tuple[int, np.ndarray]]) -> dict:
-        return {
-            "group_id": pa.array([g for g, _ in sums], pa.int64()),
-            "cluster": pa.array([c for _, c in sums], pa.int32()),
-            "n": pa.array([n for n, _ in sums.values()], pa.int64()),
-            "sums": pa.array([v.tobytes() for _, v in sums.values()], pa.binary()),
-        }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
@@ -259,15 +274,20 @@ def _cluster_sums(blocks: DataFrame, centres: dict[int, np.ndarray]) -> list:
                 own = x[nearest == c]
                 n, total = sums.get((group, int(c)), (0, 0.0))
                 sums[group, int(c)] = n + len(own), total + own.sum(axis=0)
-        yield pa.RecordBatch.from_pydict(rows(sums))
-
-    def add(parts: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(v) for v in parts["sums"].to_pylist())
-        key = parts["group_id"][0].as_py(), parts["cluster"][0].as_py()
-        return pa.table(rows({key: (sum(parts["n"].to_pylist()), total)}))
+        yield pa.RecordBatch.from_pydict(
+            {
+                "group_id": pa.array([g for g, _ in sums], pa.int64()),
+                "cluster": pa.array([c for _, c in sums], pa.int32()),
+                "n": pa.array([n for n, _ in sums.values()], pa.int64()),
+                "sums": pa.array([v.tobytes() for _, v in sums.values()], pa.binary()),
+            }
+        )
 
-    found = blocks.mapInArrow(run, schema).groupBy("group_id", "cluster").applyInArrow(add, schema)
-    out = found.collect()
+    out: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+    for r in blocks.mapInArrow(run, "group_id long, cluster int, n long, sums binary").collect():
+        key = r["group_id"], r["cluster"]
+        n, total = out.get(key, (0, 0.0))
+        out[key] = n + r["n"], total + np.frombuffer(r["sums"])
     shared.destroy()
     return out
 
@@ -288,8 +308,8 @@ def _settled_centres(blocks: DataFrame, keep: int, max_rounds: int) -> dict[int,
         if not moving:
             break
         moved = {g: c.copy() for g, c in moving.items()}
-        for r in _cluster_sums(blocks, moving):
-            moved[r["group_id"]][r["cluster"]] = np.frombuffer(r["sums"]) / r["n"]
+        for (group, cluster), (n, total) in _cluster_sums(blocks, moving).items():
+            moved[group][cluster] = total / n
         centres.update(moved)
         moving = {
             g: c for g, c in moved.items() if ((c - moving[g]) ** 2).sum(axis=1).max() > SETTLED

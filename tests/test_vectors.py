@@ -1,6 +1,7 @@
 """Retrieval and thinning against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,3 +233,20 @@ def test_probing_rows_come_in_bounded_batches(spark, monkeypatch, clumped):
     assert sum(b.num_rows for b in batches) == take * len(clumped)
     pairs = {(q, c) for b in batches for q, c in zip(b["query_id"].to_pylist(), b["cell"].to_pylist(), strict=True)}
     assert len(pairs) == take * len(clumped)
+
+
+def test_short_slices_of_a_group_are_read_as_one():
+    def packed(group, at, ids):
+        x = np.array([[i, -i] for i in ids], float)
+        return {"group_id": group, "slice": at, "width": 2, "ids": np.array(ids, np.int64).tobytes(),
+                "vectors": x.tobytes(), "races": (x + 0.5).tobytes()}
+
+    rows = [packed(7, 0, [1, 2]), packed(7, 1, [3]), packed(8, 0, [4]), packed(7, 2, [5])]
+    batches = pa.Table.from_pylist(rows).to_batches(max_chunksize=1)
+    got = [(g, ids.tolist(), x[:, 1].tolist(), race[:, 0].tolist()) for g, x, ids, race in thinning._unpacked(iter(batches))]
+    assert got == [
+        (7, [1, 2, 3], [-1, -2, -3], [1.5, 2.5, 3.5]), (8, [4], [-4], [4.5]), (7, [5], [-5], [5.5])
+    ]
+    full = [packed(7, 0, list(range(thinning.SLICE_ROWS))), packed(7, 1, [5000])]
+    sizes = [len(x) for _, x, _, _ in thinning._unpacked(iter(pa.Table.from_pylist(full).to_batches()))]
+    assert sizes == [thinning.SLICE_ROWS, 1]
