@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearken.functions.text import drop_blank
-from hearken.operators.embedding import embed, fit_embedder
+from hearken.operators.embedding import embed, fit_and_embed, fit_embedder
 from hearken.operators.groups import (
     CLUSTERED,
     KEEP,
@@ -21,7 +21,7 @@ from hearken.operators.groups import (
 from hearken.operators.retrieval import Cells, assign_cells, fit_centres, measure_cells
 from hearken.operators.skew import ROWS_PER_SLICE, heavy_from_counts, sliced_join
 from hearken.operators.thinning import GROUP_ROWS, SEED, pick_representatives
-from hearken.session import path_exists, scratch_path
+from hearken.session import path_exists, scratch_path, store
 from hearken.sources.readers import read_cells, read_vectors
 from hearken.sources.writers import write_cells, write_vectors
 
@@ -108,14 +108,12 @@ def index_documents(
     if not force_recreate and path_exists(documents.sparkSession, path):
         return
     docs = drop_blank(documents, text)
-    if embedder is None:
-        model = fit_embedder(docs, text)
-        vectors = embed(model, docs, text)
-    else:
-        vectors = embedder(docs)
+    vectors = fit_and_embed(docs, text) if embedder is None else embedder(docs)
     if not n_cells:
         write_vectors(vectors, path, force_recreate)
         return
+    # Stored before the centres are learned, so texts are embedded once.
+    vectors = store(vectors, "vectors")
     centres = fit_centres(vectors, n_cells)
     write_vectors(assign_cells(vectors, centres), path, force_recreate)
     # Measured on the stored rows, so texts are not embedded once more.

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearken.operators import embedding, ivf, retrieval, thinning
+from hearken.plans.corpus import index_documents
+from hearken.session import scratch_path
 from hearken.sources.writers import write_vectors
 
 SCHEMA = "vec_id long, embedding array<float>"
@@ -250,3 +252,27 @@ def test_short_slices_of_a_group_are_read_as_one():
     full = [packed(7, 0, list(range(thinning.SLICE_ROWS))), packed(7, 1, [5000])]
     sizes = [len(x) for _, x, _, _ in thinning._unpacked(iter(pa.Table.from_pylist(full).to_batches()))]
     assert sizes == [thinning.SLICE_ROWS, 1]
+
+
+def test_fit_and_embed_is_fit_then_embed(spark):
+    texts = ["a b c", "b  C d", "", " \n", None, "e", "a a a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    plain = embedding.embed(embedding.fit_embedder(docs), docs)
+    once = embedding.fit_and_embed(docs)
+    assert once.columns == plain.columns
+    assert sorted(map(str, once.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_index_embeds_every_document_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def vector(i):
+        seen.add(1)
+        return [1.0, float(i % 7), float(i % 3)]
+
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("c").alias("context"), F.lit("r").alias("response"))
+    path = scratch_path(spark, "once")
+    index_documents(docs, path, True, n_cells=2, embedder=lambda df: df.withColumn("embedding", vector("doc_id")))
+    assert spark.read.parquet(path).count() == 40
+    assert seen.value == 40
