@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearken.functions.vectors import cosine
 from hearken.operators.arrays import to_matrix, unit_rows
@@ -33,6 +34,8 @@ GROUP_ROWS = 20_000
 MAX_ROUNDS = 300
 SETTLED = 1e-8
 DIGITS = 6
+#: Rows that a step of a count copies; one group's matrix is held once beside its Arrow columns.
+STEP_ROWS = 1024
 #: Rows of one packed slice, and bytes of the centres that one broadcast may hold.
 SLICE_ROWS = 4096
 CENTRE_BYTES = 64 << 20
@@ -56,7 +59,12 @@ def with_race(members: DataFrame, keep: int, seed: int = SEED) -> DataFrame:
 
 
 def squared_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
+    out = np.empty((len(x), len(centres)))
+    for first in range(0, len(x), STEP_ROWS):
+        part = x[first : first + STEP_ROWS]
+        for at, c in enumerate(centres):
+            out[first : first + STEP_ROWS, at] = ((part - c) ** 2).sum(axis=1)
+    return out
 
 
 def cluster_group(x: np.ndarray, race: np.ndarray, keep: int, max_rounds: int) -> np.ndarray:
@@ -80,7 +88,13 @@ def cluster_group(x: np.ndarray, race: np.ndarray, keep: int, max_rounds: int) -
 
 def closest(x: np.ndarray, ids: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per centre the id with the highest cosine, lowest id on ties, and that cosine."""
-    scores = np.round(unit_rows(x) @ unit_rows(centres).T, DIGITS)
+    directions = unit_rows(centres).T
+    scores = np.vstack(
+        [
+            np.round(unit_rows(x[first : first + STEP_ROWS]) @ directions, DIGITS)
+            for first in range(0, len(x), STEP_ROWS)
+        ]
+    )
     best = np.array([np.lexsort((ids, -scores[:, c]))[0] for c in range(len(centres))])
     return ids[best], scores[best, np.arange(len(centres))]
 
@@ -103,9 +117,12 @@ def pick_representatives(
     over ``group_rows`` are looked for first, and the rounds run only if there are any; ``sizes``
     may name a table of the same ``n`` that is cheaper to read than ``members``.
     """
+    # Floats move as floats; tasks widen them before they count.
+    floats = members.schema["embedding"].dataType == T.ArrayType(T.FloatType())
+    kind = "array<float>" if floats else "array<double>"
     rows = with_race(
         members.where(F.col("embedding").isNotNull()).select(
-            "group_id", "pair_id", "n", F.col("embedding").cast("array<double>").alias("vector")
+            "group_id", "pair_id", "n", F.col("embedding").cast(kind).alias("vector")
         ),
         keep,
         seed,
@@ -133,14 +150,19 @@ def pick_representatives(
 
 
 def _small_groups(rows: DataFrame, keep: int, max_rounds: int) -> DataFrame:
-    def one(group: pa.Table) -> pa.Table:
-        group = group.sort_by("pair_id")
-        x, ids = to_matrix(group["vector"]), group["pair_id"].to_numpy()
-        centres = cluster_group(x, to_matrix(group["race"]), keep, max_rounds)
+    def one(key: tuple, group: pa.Table) -> pa.Table:
+        order = np.argsort(group["pair_id"].to_numpy(), kind="stable")
+        ids, race = group["pair_id"].to_numpy()[order], to_matrix(group["race"])[order]
+        x = np.empty((len(ids), len(group["vector"][0])))
+        at = np.argsort(order)  # each row's place
+        for batch in group.select(["vector"]).to_batches():
+            x[at[: batch.num_rows]] = to_matrix(batch.column(0))
+            at = at[batch.num_rows :]
+        centres = cluster_group(x, race, keep, max_rounds)
         picked, score = closest(x, ids, centres)
         return pa.table(
             {
-                "group_id": pa.array([group["group_id"][0].as_py()] * keep, pa.int64()),
+                "group_id": pa.array([key[0].as_py()] * keep, pa.int64()),
                 "cluster": pa.array(range(keep), pa.int32()),
                 "pair_id": pa.array(picked, pa.int64()),
                 "score": pa.array(score, pa.float64()),

@@ -1,5 +1,7 @@
 """Retrieval and thinning against brute force."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -276,3 +278,16 @@ def test_index_embeds_every_document_once(spark):
     index_documents(docs, path, True, n_cells=2, embedder=lambda df: df.withColumn("embedding", vector("doc_id")))
     assert spark.read.parquet(path).count() == 40
     assert seen.value == 40
+
+
+def test_group_is_clustered_without_copies_of_its_matrix():
+    x = np.random.default_rng(3).normal(size=(20_000, 64))
+    ids, centres = np.arange(len(x)), x[:5].copy()
+    tracemalloc.start()
+    near = thinning.squared_distances(x, centres)
+    picked, _ = thinning.closest(x, ids, centres)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.nbytes / 2
+    assert near.argmin(axis=0).tolist() == picked.tolist() == [0, 1, 2, 3, 4]
+    assert (near == np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)).all()
