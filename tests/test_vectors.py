@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearken.operators import embedding, ivf, retrieval, thinning
+from hearken.operators.arrays import Best
 from hearken.plans.corpus import index_documents
-from hearken.session import scratch_path
+from hearken.session import scratch_path, settle
 from hearken.sources.writers import write_vectors
 
 SCHEMA = "vec_id long, embedding array<float>"
@@ -179,6 +180,40 @@ def test_probed_lists_in_slices(spark, monkeypatch):
     assert sorted(map(tuple, ivf.search_index(vectors, index, 2, "doc_id", n_probe=4).collect())) == want
 
 
+def test_search_writes_neither_probes_nor_candidates(spark, monkeypatch):
+    vectors = cloud(spark, 400)
+    index, written = ivf.build_index(vectors), []
+
+    def counted(df):
+        written.append(df.count())
+        return settle(df)
+
+    monkeypatch.setattr(ivf, "settle", counted)
+    found = ivf.search_index(vectors, index, 2, "doc_id", n_probe=len(index.size)).count()
+    monkeypatch.setattr(ivf, "QUERY_ROWS", 150)
+    assert ivf.search_index(vectors, index, 2, "doc_id", n_probe=len(index.size)).count() == found
+    # in blocks: the queries and the hits, each once
+    assert found == 2 * 402 and sum(written) <= 402 + found
+
+
+def test_best_rows_of_offers_in_any_order(monkeypatch):
+    rng = np.random.default_rng(5)
+    scores = np.round(rng.normal(size=(7, 500)), 1)  # many ties
+    scores[:, 100:300] = scores[:, :1]
+    limits, ids = np.array([0, 1, 3, 40, 7, 600, 2]), rng.permutation(500)
+    for held in (1 << 20, 50):
+        monkeypatch.setattr(Best, "HELD", held)
+        best = Best(limits, 6)
+        for low in range(0, 500, 60):
+            for some in (np.arange(4), np.arange(4, 7)):
+                best.offer(some, ids[low : low + 60], scores[some, low : low + 60])
+        best.sort()
+        for q, k in enumerate(limits):
+            own = np.lexsort((ids, -scores[q]))[:k]
+            assert best.id[best.query == q].tolist() == ids[own].tolist()
+            assert best.score[best.query == q].tolist() == scores[q, own].tolist()
+
+
 def test_probed_lists_of_few_vectors(spark):
     vectors = cloud(spark, 200)
     for part in (vectors.where("doc_id = 3"), vectors.where("doc_id = 200"), vectors.where("false")):
