@@ -214,6 +214,20 @@ def test_best_rows_of_offers_in_any_order(monkeypatch):
             assert best.score[best.query == q].tolist() == scores[q, own].tolist()
 
 
+def test_scores_in_floats_decide_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    near = rng.normal(size=(1, 16)) + 1e-5 * rng.normal(size=(300, 16))  # floats cannot order these
+    vectors = np.vstack([near, rng.normal(size=(60, 16)), np.tile(near[:1], (30, 1))])
+    want = brute(vectors.astype(np.float32), vectors.astype(np.float32), [4] * len(vectors))
+    for many in (1 << 30, 16, 0):  # whole slices in doubles always, at times, never
+        monkeypatch.setattr(retrieval, "MANY", many)
+        asked = retrieval._prepared(frame(spark, vectors), "vec_id", "embedding", "query_id", F.lit(4).alias("k"))
+        docs = retrieval._prepared(frame(spark, vectors), "vec_id", "embedding", "doc_id")
+        scan = retrieval._scan_for(asked.toArrow())
+        hits = [h for b in scan(iter(docs.toArrow().to_batches())) for h in b.to_pylist()]
+        assert sorted((h["query_id"], h["doc_id"]) for h in hits) == sorted((q, d) for q, _, d, _ in want)
+
+
 def test_probed_lists_of_few_vectors(spark):
     vectors = cloud(spark, 200)
     for part in (vectors.where("doc_id = 3"), vectors.where("doc_id = 200"), vectors.where("false")):
